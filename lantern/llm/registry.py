@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from lantern.llm import bpe, packing
+from lantern.llm import bpe, neardup, packing
 
 QUERIES = {
+    "op4_minhash": neardup.op4_minhash,
     "op5_bpe": bpe.op5_bpe,
     "op7_packing": packing.op7_packing,
 }
