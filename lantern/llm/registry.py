@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from lantern.llm import bpe, neardup, packing
+from lantern.llm import bpe, neardup, packing, repeats
 
 QUERIES = {
     "op4_minhash": neardup.op4_minhash,
     "op5_bpe": bpe.op5_bpe,
     "op7_packing": packing.op7_packing,
+    "op8_suffix": repeats.op8_suffix,
 }
 ORACLES: dict[str, str] = {}
