@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
-from lantern.llm import bpe, neardup, packing, repeats
+from lantern.llm import bpe, neardup, packing, repeats, topk
 
 QUERIES = {
+    "op1_topk": topk.op1_topk,
     "op4_minhash": neardup.op4_minhash,
     "op5_bpe": bpe.op5_bpe,
     "op7_packing": packing.op7_packing,
     "op8_suffix": repeats.op8_suffix,
 }
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {
+    "op1_topk": topk.ORACLE,
+}
