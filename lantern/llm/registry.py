@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from lantern.llm import bpe, neardup, packing, pii, repeats, topk
+from lantern.llm import bpe, langid, neardup, packing, pii, repeats, topk
 
 QUERIES = {
     "op1_topk": topk.op1_topk,
     "op2_pii": pii.op2_pii,
+    "op3_langid": langid.op3_langid,
     "op4_minhash": neardup.op4_minhash,
     "op5_bpe": bpe.op5_bpe,
     "op7_packing": packing.op7_packing,
