@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from lantern.llm import bpe, langid, neardup, packing, pii, repeats, topk
+from lantern.llm import bpe, langid, media, neardup, packing, pii, repeats, topk
 
 QUERIES = {
     "op1_topk": topk.op1_topk,
@@ -10,6 +10,7 @@ QUERIES = {
     "op3_langid": langid.op3_langid,
     "op4_minhash": neardup.op4_minhash,
     "op5_bpe": bpe.op5_bpe,
+    "op6_flac": media.op6_flac,
     "op7_packing": packing.op7_packing,
     "op8_suffix": repeats.op8_suffix,
 }
