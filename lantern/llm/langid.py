@@ -94,7 +94,7 @@ def fit(labelled: DataFrame, sample: int = SAMPLE, centroids: int = CENTROIDS, d
     """A model from (doc_id, text, lang) rows; a bounded number reaches the driver."""
     usable = labelled.where("lang is not null and text is not null")
     # Ids first: the texts of the sample alone are read in the second scan.
-    chosen = bounded_sample(usable.select("doc_id", "lang"), "lang", sample).select("doc_id").distinct()
+    chosen = common.written(bounded_sample(usable.select("doc_id", "lang"), "lang", sample).select("doc_id").distinct(), "sample")
     rows = bounded_sample(usable.join(chosen, "doc_id", "left_semi"), "lang", sample).select("doc_id", "lang", "text")
 
     def sparse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

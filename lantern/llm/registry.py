@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from lantern.llm import bpe, langid, media, neardup, packing, pii, repeats, topk
+from lantern.llm import bpe, langid, media, neardup, packing, pii, quality, repeats, topk, toxicity
 
 QUERIES = {
     "op1_topk": topk.op1_topk,
@@ -13,6 +13,8 @@ QUERIES = {
     "op6_flac": media.op6_flac,
     "op7_packing": packing.op7_packing,
     "op8_suffix": repeats.op8_suffix,
+    "op9_quality": quality.op9_quality,
+    "op10_toxicity": toxicity.op10_toxicity,
 }
 ORACLES: dict[str, str] = {
     "op1_topk": topk.ORACLE,
