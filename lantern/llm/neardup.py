@@ -143,5 +143,18 @@ def near_duplicates(docs: DataFrame, bands: int = BANDS, rows: int = ROWS, perce
     )
 
 
+def one_of_each(docs: DataFrame, **options) -> DataFrame:
+    """``docs`` without the rows that near_duplicates doesn't keep.
+
+    Rows that repeat both id and text count as one document: one of them stays.
+    """
+    found = common.written(near_duplicates(docs, **options), "groups")
+    ids = found.where("doc_id is not null").groupBy("doc_id").agg(F.count(F.lit(1)).alias("n"))
+    if common.has_rows(ids.where("n > 1")):
+        docs = docs.dropDuplicates(["doc_id", "text"])
+    gone = found.where("not kept").select(F.col("doc_id").alias("gone")).distinct()
+    return docs.join(gone, F.col("doc_id").cast("long") == F.col("gone"), "left_anti")
+
+
 def op4_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(common.table(spark, sf_dir, "documents"))

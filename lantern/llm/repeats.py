@@ -331,5 +331,33 @@ def remove_repeats(docs: DataFrame, keep_text: bool = False, **options) -> DataF
     return _same(plain, found, "left").select("doc_id", "text", "found").mapInArrow(remove, schema)
 
 
+def without_repeats(docs: DataFrame, **options) -> DataFrame:
+    """``docs`` with repeated bytes cut out of ``text``, all columns and rows kept.
+
+    A row that loses all its text stays, with an empty one; a null text stays null.
+    """
+    found = spans(_prepared(docs), **options)
+    keyed = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"), F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(F.coalesce(F.col("text").cast("string"), F.lit(""))).alias("sum"))
+    held = _same(keyed, found, "left").select("row.*", F.col("found").alias("repeats found"))
+    place, shape = docs.columns.index("text"), docs.schema
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            texts = batch["text"].to_pylist()
+            for k, ranges in enumerate(batch["repeats found"].to_pylist()):
+                if ranges:
+                    raw, left, at = texts[k].encode(), [], 0
+                    for a, b in _merged(ranges):
+                        left.append(raw[at:a])
+                        at = b
+                    left.append(raw[at:])
+                    texts[k] = b"".join(left).decode("utf-8", "ignore")
+            columns = list(batch.columns)[:-1]
+            columns[place] = pa.array(texts, pa.string())
+            yield pa.RecordBatch.from_arrays(columns, batch.schema.names[:-1])
+
+    return held.mapInArrow(cut, shape)
+
+
 def op8_suffix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return remove_repeats(common.table(spark, sf_dir, "documents"))
