@@ -31,8 +31,9 @@ from lantern.llm.langid import held_out
 SAMPLE = 4000
 VOTERS = 384
 THRESHOLD = 0.3
-#: Mined voters speak on at least so many toxic texts of the sample, and are this much likelier there.
-LEAST_TEXTS, LEAST_ODDS = 4, 4.0
+#: Mined voters speak on at least this part of the sample's toxic texts (three at least), on no more than
+#: that part of its other ones, and are likelier by this log-odds on the former.
+LEAST_RATE, MOST_SLIPS, LEAST_ODDS = 0.002, 0.001, 2.5
 BUILT_IN = ("idiot", "moron", "stupid", "loser", "pathetic", "worthless", "scum")
 
 _WORD = re.compile(r"\w+")
@@ -140,7 +141,7 @@ def mined(rows: DataFrame, voters: int) -> list[str]:
         return []
     counts = rows.select("text", "label").mapInArrow(each, "pattern string, toxic long, other long").groupBy("pattern").agg(F.sum("toxic").alias("toxic"), F.sum("other").alias("other"))
     odds = F.log((F.col("toxic") + 0.5) / (n1 + 1)) - F.log((F.col("other") + 0.5) / (n0 + 1))
-    top = counts.where(F.col("toxic") >= LEAST_TEXTS).withColumn("odds", odds).where(F.col("odds") >= LEAST_ODDS)
+    top = counts.where((F.col("toxic") >= max(3, LEAST_RATE * n1)) & (F.col("other") <= MOST_SLIPS * n0)).withColumn("odds", odds).where(F.col("odds") >= LEAST_ODDS)
     # Those that cover most toxic texts at the best odds come first.
     return [r.pattern for r in top.orderBy(F.desc(F.col("odds") * F.log1p("toxic")), "pattern").limit(voters).collect()]
 
