@@ -19,7 +19,7 @@ import struct
 import numpy as np
 
 BLOCK = 576
-SEEK_FRAMES = 8
+SEEK_FRAMES = 4
 RATE = 8000
 _CHUNK = 2048
 

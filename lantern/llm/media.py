@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 from lantern.llm import common, flac
 
 #: Payload bytes that are encoded or decoded at once.
-GROUP_BYTES = 1 << 20
+GROUP_BYTES = 1 << 22
 
 
 def payload(text: str | None) -> bytes:
