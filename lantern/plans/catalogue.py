@@ -1,12 +1,469 @@
-"""Registered search-engine queries and their SQL counterparts."""
+"""Registered search-engine queries and their SQL counterparts.
+
+Scores are rounded to six digits on both sides, since engines add up in other
+orders.  Queries with SQL use analysis without stemming, which SQL lacks;
+stemmed ones are tested against goldens and a brute-force evaluator.
+"""
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from lantern.functions.analysis import Analyzer, simple_analyzer
+from lantern.functions.scoring import BM25Scorer, TFIDFScorer
+from lantern.functions.snippets import Highlighter
+from lantern.functions.stems import stem_arrays
+from lantern.functions.text import AccentStripper, LowercaseNormalizer, NgramTokenizer, PunctuationStripper, RegexTokenizer, SentenceTokenizer, StopWordFilter, UnicodeNormalizer, WhitespaceTokenizer
+from lantern.operators import facets, postings
+from lantern.plans.ast import BoolQuery, MatchAllQuery, PhraseQuery, RangeQuery, TermQuery, WildcardQuery
+from lantern.plans.compile import Compiler
+from lantern.plans.engine import SearchEngine
+from lantern.sources.schema import KeywordField, NumericField, Schema, TextField
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+ORACLES: dict[str, str] = {}
+
+
+def registered(sql: str | None = None):
+    def keep(f):
+        QUERIES[f.__name__] = f
+        if sql:
+            ORACLES[f.__name__] = sql
+        return f
+
+    return keep
+
+
+def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+# ------------------------------------------------------------- indexes
+
+_engines: dict[tuple[str, str, str], SearchEngine] = {}
+
+
+def _engine(spark: SparkSession, sf_dir: str, name: str, make: Callable[[], tuple[Schema, DataFrame, str]]) -> SearchEngine:
+    """One index for each corpus in a session, as a user would keep it."""
+    key = (spark.sparkContext.applicationId, sf_dir, name)
+    if key not in _engines:
+        schema, df, id_col = make()
+        engine = SearchEngine(schema=schema, spark=spark)
+        engine.index_documents(df, id_col)
+        _engines[key] = engine
+    return _engines[key]
+
+
+def documents_engine(spark: SparkSession, sf_dir: str) -> SearchEngine:
+    """text without stemming, lang and source as keywords, n_chars as a number."""
+    schema = Schema(text=TextField(analyzer=Analyzer()), lang=KeywordField(indexed=False), source=KeywordField(indexed=False, faceted=True), n_chars=NumericField())
+    return _engine(spark, sf_dir, "documents", lambda: (schema, table(spark, sf_dir, "documents"), "doc_id"))
+
+
+def stemmed_engine(spark: SparkSession, sf_dir: str) -> SearchEngine:
+    schema = Schema(text=TextField(), source=KeywordField(indexed=False))
+    return _engine(spark, sf_dir, "stemmed", lambda: (schema, table(spark, sf_dir, "documents").select("doc_id", "text", "source"), "doc_id"))
+
+
+def parts_engine(spark: SparkSession, sf_dir: str) -> SearchEngine:
+    """p_name (boost 2) and p_type as text, p_brand as a keyword."""
+    schema = Schema(p_name=TextField(analyzer=simple_analyzer(), boost=2.0), p_type=TextField(analyzer=simple_analyzer()), p_brand=KeywordField(faceted=True), p_retailprice=NumericField())
+    return _engine(spark, sf_dir, "part", lambda: (schema, table(spark, sf_dir, "part"), "p_partkey"))
+
 
-QUERIES: dict = {}
-ORACLES: dict = {}
+def _out(matched: DataFrame) -> DataFrame:
+    return matched.select("doc_id", F.round("score", 6).alias("score"))
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id")
+    return documents_engine(spark, sf_dir).page("the AND and OR of", limit=10).select("doc_id", "score", "lang", "source")
+
+
+# ---------------------------------------------------- SQL building blocks
+
+W = r"[\p{L}\p{N}_]+(?:[-''][\p{L}\p{N}_]+)*"
+SPACE = r"[\s\x0b\x1c-\x1f\x85\p{Z}]"
+DOCS = f"""with tl as (select doc_id, list_transform(regexp_extract_all(text, '{W}'), lambda x: lower(x)) l from documents where text is not null),
+tk as (select doc_id, unnest(l) term, generate_subscripts(l, 1) - 1 pos from tl),
+dl as (select doc_id, len(l) dl from tl),
+st as (select sum(dl)::double / (select count(*) from documents) avgdl, (select count(*) from documents) n from dl),
+po as (select term, doc_id, count(*) tf from tk group by all)
+"""
+
+
+def bm25(term: str, boost: float = 1.0, k1: float = 1.2, b: float = 0.75) -> str:
+    return f"""(select doc_id, {boost} * ln((n - df + 0.5) / (df + 0.5) + 1.0) * (tf * ({k1} + 1.0)) / (tf + {k1} * (1.0 - {b} + {b} * dl / greatest(avgdl, 1.0))) s
+from po join dl using (doc_id), st, (select count(*) df from po where term = '{term}') where term = '{term}')"""
+
+
+def _tokens(column: str, name: str, key: str, of: str) -> str:
+    return f"with l as (select {key}, {of} l from {name} where {column} is not null) select {key}, (generate_subscripts(l, 1) - 1)::int as position, unnest(l) as term from l"
+
+
+# ------------------------------------------------------------ tokenizers
+
+
+def _exploded(df: DataFrame, key: str, tokens) -> DataFrame:
+    return df.select(key, F.explode(tokens).alias("t")).select(key, F.col("t.position").alias("position"), F.col("t.text").alias("term"))
+
+
+@registered(_tokens("text", "documents", "doc_id", f"regexp_extract_all(text, '{W}')"))
+def tokenize_regex(spark, sf_dir):
+    return _exploded(table(spark, sf_dir, "documents"), "doc_id", RegexTokenizer().column(F.col("text")))
+
+
+@registered(_tokens("text", "documents", "doc_id", r"regexp_extract_all(text, '[^\s\x0b\x1c-\x1f\x{85}\p{Z}]+')"))
+def tokenize_whitespace(spark, sf_dir):
+    return _exploded(table(spark, sf_dir, "documents"), "doc_id", WhitespaceTokenizer().column(F.col("text")))
+
+
+@registered(_tokens("p_name", "part", "p_partkey", r"""list_filter(flatten(list_transform([2, 3], lambda n: list_transform(range(1, greatest(len(trim(p_name)) - n + 2, 1)::bigint), lambda a: substr(trim(p_name), a::int, n)))), lambda g: trim(g) <> '')"""))
+def tokenize_ngram(spark, sf_dir):
+    return _exploded(table(spark, sf_dir, "part"), "p_partkey", NgramTokenizer(2, 3).column(F.col("p_name")))
+
+
+@registered(r"""with s as (select doc_id, list_filter(list_transform(string_split(regexp_replace(text, '([.!?])\s+([A-Z])', '\1' || chr(1) || '\2', 'g'), chr(1)),
+lambda x: regexp_replace(x, '^\s+|\s+$', '', 'g')), lambda x: x <> '') l from documents where text is not null)
+select doc_id, (generate_subscripts(l, 1) - 1)::int as place, unnest(l) as sentence from s""")
+def tokenize_sentence(spark, sf_dir):
+    found = table(spark, sf_dir, "documents").select("doc_id", F.posexplode(SentenceTokenizer().column(F.col("text"))).alias("place", "sentence"))
+    return found.select("doc_id", "place", "sentence")
+
+
+@registered()
+def token_offsets(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents")
+    return docs.select("doc_id", F.inline(RegexTokenizer().with_offsets(F.col("text"))))
+
+
+@registered(DOCS + "select doc_id, pos::int as position, term from tk where term not in ('the', 'and', 'of', 'der', 'la')")
+def stop_filter_positions(spark, sf_dir):
+    analyzer = Analyzer(RegexTokenizer(), [LowercaseNormalizer()], StopWordFilter({"the", "and", "of", "der", "la"}))
+    return _exploded(table(spark, sf_dir, "documents"), "doc_id", analyzer.column(F.col("text")))
+
+
+@registered(r"""with l as (select doc_id, list_transform(regexp_extract_all(text, '[^\s\x0b\x1c-\x1f\x{85}\p{Z}]+'), lambda x: lower(x)) l from documents),
+t as (select doc_id, (generate_subscripts(l, 1) - 1)::int as position, trim(unnest(l), '.,;:!?"''()[]{}…—–-') as term from l) select * from t where term <> ''""")
+def punctuation_strip(spark, sf_dir):
+    analyzer = Analyzer(WhitespaceTokenizer(), [LowercaseNormalizer(), PunctuationStripper()])
+    return _exploded(table(spark, sf_dir, "documents"), "doc_id", analyzer.column(F.col("text")))
+
+
+@registered(DOCS + "select term, strip_accents(term) as folded, count(*) as n from tk group by all")
+def accent_fold(spark, sf_dir):
+    tokens = _exploded(table(spark, sf_dir, "documents"), "doc_id", Analyzer().column(F.col("text")))
+    words = tokens.groupBy("term").agg(F.count(F.lit(1)).alias("n"))
+    fold = AccentStripper().column(F.array(F.struct(F.col("term").alias("text"), F.lit(0).alias("position"))))
+    return words.select("term", F.get(fold, F.lit(0))["text"].alias("folded"), "n")
+
+
+@registered(DOCS + "select doc_id, pos::int as position, nfc_normalize(term) as term from tk")
+def unicode_normalize(spark, sf_dir):
+    analyzer = Analyzer(RegexTokenizer(), [LowercaseNormalizer(), UnicodeNormalizer("NFC")])
+    return _exploded(table(spark, sf_dir, "documents"), "doc_id", analyzer.column(F.col("text")))
+
+
+@registered()
+def porter_stem_vocab(spark, sf_dir):
+    words = documents_engine(spark, sf_dir).index.terms.where("field = 'text'").select("term")
+    return words.select("term", F.get(stem_arrays(F.array("term")), F.lit(0)).alias("stem"))
+
+
+# ----------------------------------------------------------------- index
+
+
+@registered(DOCS + "select 'text' as field, term, doc_id, count(*) as tf, string_agg(pos::varchar, ',' order by pos) as positions, any_value(len(l))::int as dl from tk join tl using (doc_id) group by term, doc_id")
+def postings_build(spark, sf_dir):
+    rows = documents_engine(spark, sf_dir).index.postings.where("field = 'text'")
+    return rows.select("field", "term", "doc_id", "tf", F.array_join(F.col("positions").cast("array<string>"), ",").alias("positions"), "dl")
+
+
+@registered("""select field, term, doc_id, 1::bigint as tf, 1 as dl from (
+select 'lang' as field, lower(trim(lang)) as term, doc_id from documents union all select 'source', lower(trim(source)), doc_id from documents) where term <> ''""")
+def keyword_postings(spark, sf_dir):
+    return documents_engine(spark, sf_dir).index.postings.where("field in ('lang', 'source')").select("field", "term", "doc_id", "tf", "dl")
+
+
+@registered("""with v as (select event_id as doc_id, string_split(event_type || '|' || upper(event_type) || '| ', '|') l from events)
+select lower(trim(w)) as term, doc_id, count(*) as tf, any_value(n)::int as dl from (select doc_id, unnest(l) w, len(l) n from v) where trim(w) <> '' group by 1, 2""")
+def keyword_lists(spark, sf_dir):
+    events = table(spark, sf_dir, "events").select(F.col("event_id").alias("doc_id"), F.array("event_type", F.upper("event_type"), F.lit(" ")).alias("tags"))
+    return postings.build_postings(events, Schema(tags=KeywordField())).select("term", "doc_id", "tf", "dl")
+
+
+@registered(DOCS + "select 'text' as field, term, count(distinct doc_id) as df, count(*) as cf from tk group by term")
+def term_dictionary(spark, sf_dir):
+    return documents_engine(spark, sf_dir).index.terms.where("field = 'text'").select("field", "term", "df", "cf")
+
+
+@registered(DOCS + "select 'text' as field, doc_id, dl::int as dl from dl union all select 'lang', doc_id, 1 from documents where lang is not null union all select 'source', doc_id, 1 from documents where source is not null")
+def field_lengths(spark, sf_dir):
+    engine = documents_engine(spark, sf_dir)
+    return postings.field_lengths(engine.documents, engine.schema)
+
+
+@registered(DOCS + """select n as documents, (select count(*) from (select distinct term from tk)) + (select count(distinct lang) + count(distinct source) from documents) + 1 as unique_terms, round(avgdl, 1) as avg_text_length from st""")
+def index_stats(spark, sf_dir):
+    s = documents_engine(spark, sf_dir).stats()
+    return spark.createDataFrame([(s["documents"], s["unique_terms"], s["avg_field_lengths"]["text"])], "documents long, unique_terms long, avg_text_length double")
+
+
+@registered(DOCS + "select * from po where term = 'that' order by doc_id")
+def posting_lookup(spark, sf_dir):
+    return postings.lookup(documents_engine(spark, sf_dir).index.postings, "text", "that").select("term", "doc_id", "tf")
+
+
+def _lists(spark, sf_dir, a, b):
+    rows = documents_engine(spark, sf_dir).index.postings
+    return postings.lookup(rows, "text", a), postings.lookup(rows, "text", b)
+
+
+@registered(DOCS + "select doc_id from po where term = 'with' intersect select doc_id from po where term = 'that'")
+def posting_intersect(spark, sf_dir):
+    return postings.intersect(*_lists(spark, sf_dir, "with", "that"))
+
+
+@registered(DOCS + "select doc_id from po where term = 'with' union select doc_id from po where term = 'der'")
+def posting_union(spark, sf_dir):
+    return postings.union(*_lists(spark, sf_dir, "with", "der"))
+
+
+@registered(DOCS + "select doc_id from po where term = 'with' except select doc_id from po where term = 'that'")
+def posting_difference(spark, sf_dir):
+    return postings.difference(*_lists(spark, sf_dir, "with", "that"))
+
+
+# --------------------------------------------------------------- scoring
+
+
+@registered(DOCS + f"select doc_id, round(s, 6) as score from {bm25('the')}")
+def term_bm25(spark, sf_dir):
+    return _out(documents_engine(spark, sf_dir).matches("the"))
+
+
+@registered(DOCS + f"select doc_id, round(s, 6) as score from {bm25('the', k1=2.0, b=0.3)}")
+def bm25_custom_k1_b(spark, sf_dir):
+    return _out(Compiler(documents_engine(spark, sf_dir).index, BM25Scorer(2.0, 0.3)).matched(TermQuery("the")))
+
+
+@registered(DOCS + "select doc_id, round((1 + ln(tf)) * ln(n::double / df), 6) as score from po, st, (select count(*) df from po where term = 'that') where term = 'that'")
+def term_tfidf(spark, sf_dir):
+    return _out(Compiler(documents_engine(spark, sf_dir).index, TFIDFScorer()).matched(TermQuery("that")))
+
+
+PARTS = r"""with f as (select p_partkey doc_id, 'p_name' field, 2.0 boost, list_transform(regexp_extract_all(p_name, '\S+'), lambda x: lower(x)) l from part
+union all select p_partkey, 'p_type', 1.0, list_transform(regexp_extract_all(p_type, '\S+'), lambda x: lower(x)) from part
+union all select p_partkey, 'p_brand', 1.0, [lower(trim(p_brand))] from part),
+tk as (select doc_id, field, boost, len(l) dl, unnest(l) term from f),
+av as (select field, sum(len(l))::double / (select count(*) from part) avgdl from f group by field),
+po as (select field, term, doc_id, boost, dl, count(*) tf from tk group by all),
+df as (select field, term, count(*) df from po group by all),
+sc as (select doc_id, field, term, boost * ln((n - df + 0.5) / (df + 0.5) + 1.0) * (tf * 2.2) / (tf + 1.2 * (0.25 + 0.75 * dl / greatest(avgdl, 1.0))) s
+from po join df using (field, term) join av using (field), (select count(*) n from part))
+"""
+
+
+@registered(PARTS + "select doc_id, round(sum(s), 6) as score from sc where term in ('widget') group by doc_id")
+def term_multi_field_boost(spark, sf_dir):
+    return _out(parts_engine(spark, sf_dir).matches(TermQuery("widget")))
+
+
+@registered(PARTS + "select doc_id, round(3.0 * sum(s), 6) as score from sc where field = 'p_brand' and term = 'brand#12' group by doc_id")
+def keyword_term_boost(spark, sf_dir):
+    return _out(parts_engine(spark, sf_dir).matches("p_brand:Brand#12^3"))
+
+
+@registered(PARTS + "select doc_id, round(max(s), 6) as score from sc where starts_with(term, 's') group by doc_id")
+def wildcard_prefix(spark, sf_dir):
+    return _out(parts_engine(spark, sf_dir).matches("s*"))
+
+
+@registered(PARTS + "select doc_id, round(max(s), 6) as score from sc where field = 'p_type' group by doc_id")
+def field_exists(spark, sf_dir):
+    return _out(parts_engine(spark, sf_dir).matches("p_type:*"))
+
+
+# --------------------------------------------------------------- boolean
+
+
+def _join(kind: str, a: str, b: str, score: str) -> str:
+    return DOCS + f"select doc_id, round({score}, 6) as score from {bm25(a)} a {kind} join {bm25(b)} b using (doc_id)"
+
+
+@registered(_join("inner", "the", "that", "a.s + b.s"))
+def bool_must(spark, sf_dir):
+    return _out(documents_engine(spark, sf_dir).matches("the AND that"))
+
+
+@registered(_join("full", "that", "der", "greatest(a.s, b.s)"))
+def bool_should_dismax(spark, sf_dir):
+    return _out(documents_engine(spark, sf_dir).matches("that OR der"))
+
+
+@registered(DOCS + f"select doc_id, round(s, 6) as score from {bm25('the')} where doc_id not in (select doc_id from po where term = 'that')")
+def bool_must_not(spark, sf_dir):
+    return _out(documents_engine(spark, sf_dir).matches(BoolQuery(must=[TermQuery("the")], must_not=[TermQuery("that")])))
+
+
+@registered(_join("left", "the", "that", "a.s + coalesce(b.s, 0)"))
+def bool_must_should(spark, sf_dir):
+    return _out(documents_engine(spark, sf_dir).matches(BoolQuery(must=[TermQuery("the")], should=[TermQuery("that")])))
+
+
+@registered(DOCS + f"select doc_id, round(1.5 * (x.s + c.s), 6) as score from (select doc_id, greatest(a.s, b.s) s from {bm25('that', 2.0)} a full join {bm25('with')} b using (doc_id)) x join {bm25('the')} c using (doc_id)")
+def bool_nested_boost(spark, sf_dir):
+    inner = BoolQuery(should=[TermQuery("that", boost=2.0), TermQuery("with")])
+    return _out(documents_engine(spark, sf_dir).matches(BoolQuery(must=[inner, TermQuery("the")], boost=1.5)))
+
+
+@registered("select doc_id, 0.0::double as score from documents where false")
+def parsed_not_is_empty(spark, sf_dir):
+    return _out(documents_engine(spark, sf_dir).matches("the AND NOT that"))
+
+
+@registered(DOCS + f"select doc_id, round(s, 6) as score from {bm25('the')} where doc_id not in (select doc_id from po where term = 'that')")
+def parsed_not_excludes_on_request(spark, sf_dir):
+    engine = documents_engine(spark, sf_dir)
+    return _out(Compiler(engine.index, engine.scorer, "exclude").matched(engine.parse("the AND NOT that")))
+
+
+# --------------------------------------------------------------- phrases
+
+PHRASE = """, hit as (select distinct a.doc_id from tk a join tk b on a.doc_id = b.doc_id and a.term = 'of' and b.term = 'the' and abs(b.pos - (a.pos + 1)) <= {slop})
+select doc_id, round(2.0 * ln((n - df + 0.5) / (df + 0.5) + 1.0) * 2.2 / (1 + 1.2 * (0.25 + 0.75 * dl / greatest(avgdl, 1.0))), 6) as score
+from hit join dl using (doc_id), st, (select count(*) df from po where term = 'of')"""
+
+
+@registered(DOCS + PHRASE.format(slop=0))
+def phrase_exact(spark, sf_dir):
+    return _out(documents_engine(spark, sf_dir).matches('"of the"'))
+
+
+@registered(DOCS + PHRASE.format(slop=3))
+def phrase_slop(spark, sf_dir):
+    return _out(documents_engine(spark, sf_dir).matches(PhraseQuery(["of", "the"], slop=3)))
+
+
+@registered()
+def phrase_three_slop(spark, sf_dir):
+    return _out(documents_engine(spark, sf_dir).matches(PhraseQuery(["of", "the", "and"], slop=2)))
+
+
+# ---------------------------------------------------- ranges, all, pages
+
+
+@registered("select doc_id, 2.0::double as score from documents where n_chars >= 1000 and n_chars < 5000")
+def range_numeric(spark, sf_dir):
+    return _out(documents_engine(spark, sf_dir).matches(RangeQuery("n_chars", gte=1000, lt=5000, boost=2.0)))
+
+
+@registered("select event_id as doc_id, 1.0::double as score from events where value > 10 and value <= 50")
+def range_events(spark, sf_dir):
+    events = table(spark, sf_dir, "events").withColumnRenamed("event_id", "doc_id")
+    from lantern.plans.compile import in_range
+
+    return events.where(in_range(events, RangeQuery("value", gt=10, lte=50))).select("doc_id", F.lit(1.0).alias("score"))
+
+
+@registered(DOCS + f"select doc_id, round(s + 1.0, 6) as score from {bm25('the')} join documents using (doc_id) where n_chars >= 2000")
+def range_and_term(spark, sf_dir):
+    return _out(documents_engine(spark, sf_dir).matches(BoolQuery(must=[TermQuery("the"), RangeQuery("n_chars", gte=2000)])))
+
+
+@registered("select doc_id, 1.0::double as score, lang from documents order by doc_id limit 10 offset 20")
+def match_all_page(spark, sf_dir):
+    return documents_engine(spark, sf_dir).page(MatchAllQuery(), limit=10, offset=20).select("doc_id", "score", "lang")
+
+
+@registered()
+def ranked_page(spark, sf_dir):
+    return documents_engine(spark, sf_dir).page("the AND that", limit=10, offset=5).select("doc_id", "score", "source")
+
+
+# ---------------------------------------------------------------- facets
+
+
+@registered(DOCS + """, m as (select doc_id, lang, source from documents where doc_id in (select doc_id from po where term = 'that'))
+select 'lang' as field, lang as value, count(*) as count from m where lang is not null group by lang union all select 'source', source, count(*) from m where source is not null group by source""")
+def facet_counts(spark, sf_dir):
+    engine = documents_engine(spark, sf_dir)
+    return facets.facet_counts(engine.index.docs.join(engine.matches("that"), "doc_id", "left_semi"), ["lang", "source"])
+
+
+@registered("""select field, value, count from (select 'source' as field, source as value, count(*) as count, row_number() over (order by count(*) desc, source) r from documents where source is not null group by source) where r <= 5""")
+def facet_top_n(spark, sf_dir):
+    return facets.top_facets(facets.facet_counts(table(spark, sf_dir, "documents"), ["source"]), 5)
+
+
+@registered(DOCS + f"select doc_id, round(s, 6) as score from {bm25('the')} join documents using (doc_id) where lang in ('en', 'fr') and source = 'src0'")
+def facet_filtered_search(spark, sf_dir):
+    return _out(documents_engine(spark, sf_dir).matches("the", filters={"lang": ["en", "fr"], "source": ["src0"]}))
+
+
+# -------------------------------------------------- removal, many, snippets
+
+
+@registered(DOCS.replace("from documents where text is not null", "from documents where text is not null and lang <> 'de'").replace("(select count(*) from documents)", "(select count(*) from documents where lang <> 'de')") + f"select doc_id, round(s, 6) as score from {bm25('the')}")
+def remove_docs_rescore(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents")
+    engine = SearchEngine(schema=Schema(text=TextField(analyzer=Analyzer())), spark=spark)
+    engine.index_documents(docs, "doc_id")
+    engine.remove_where(docs.where("lang = 'de'"))
+    return _out(engine.matches("the"))
+
+
+@registered(DOCS + f"select 'one' as query, doc_id, round(s, 6) as score from {bm25('that')} union all select 'two', doc_id, round(s, 6) from {bm25('der')}")
+def search_many(spark, sf_dir):
+    found = documents_engine(spark, sf_dir).search_many({"one": "that", "two": "der"}, limit=1 << 30)
+    return found.select("query", "doc_id", F.round("score", 6).alias("score"))
+
+
+@registered()
+def stemmed_search(spark, sf_dir):
+    return _out(stemmed_engine(spark, sf_dir).matches("reading OR moron* OR license"))
+
+
+@registered()
+def highlight_snippets(spark, sf_dir):
+    engine = documents_engine(spark, sf_dir)
+    page = engine.page("that AND with", limit=20)
+    return engine.with_highlight(page, "that AND with", "text").select("doc_id", "snippet")
+
+
+@registered()
+def highlight_all(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents")
+    return docs.select("doc_id", Highlighter().column(F.col("text"), ["license", "that"], 80).alias("snippet"))
+
+
+@registered("select turn as n, count(*) as count from conversations group by turn")
+def conversation_turns(spark, sf_dir):
+    found = facets.facet_counts(table(spark, sf_dir, "conversations"), ["turn"])
+    return found.select(F.col("value").cast("bigint").alias("n"), "count")
+
+
+@registered("select doc_id, 1.0::double as score from (select l_orderkey * 10 + l_linenumber as doc_id, l_quantity from lineitem) where l_quantity >= 10 and l_quantity < 20")
+def range_lineitem(spark, sf_dir):
+    from lantern.plans.compile import in_range
+
+    rows = table(spark, sf_dir, "lineitem").select((F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("doc_id"), "l_quantity")
+    return rows.where(in_range(rows, RangeQuery("l_quantity", gte=10, lt=20))).select("doc_id", F.lit(1.0).alias("score"))
+
+
+@registered("select 'o_orderpriority' as field, o_orderpriority as value, count(*) as count from orders group by 2 union all select 'o_orderstatus', o_orderstatus, count(*) from orders group by 2")
+def facet_orders(spark, sf_dir):
+    return facets.facet_counts(table(spark, sf_dir, "orders"), ["o_orderpriority", "o_orderstatus"])
+
+
+@registered(PARTS + "select doc_id, round(sum(s), 6) as score from sc where term = 'widget' and doc_id in (select p_partkey from part where p_retailprice >= 1000) group by doc_id")
+def term_with_price_filter(spark, sf_dir):
+    engine = parts_engine(spark, sf_dir)
+    return _out(Compiler(engine.index, engine.scorer).matched(TermQuery("widget"), F.col("p_retailprice") >= 1000))
+
+
+@registered(PARTS + "select doc_id, round(max(s) * 2.0, 6) as score from sc where field = 'p_type' and starts_with(term, 'eco') group by doc_id")
+def wildcard_field_boost(spark, sf_dir):
+    return _out(parts_engine(spark, sf_dir).matches(WildcardQuery("eco*", "p_type", 2.0)))
