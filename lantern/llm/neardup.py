@@ -158,3 +158,25 @@ def one_of_each(docs: DataFrame, **options) -> DataFrame:
 
 def op4_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(common.table(spark, sf_dir, "documents"))
+
+
+#: For small tables: all pairs that share a shingle.
+ORACLE = r"""
+with recursive w as (
+  select doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') as l from documents
+), s as (
+  select distinct doc_id, unnest(case when len(l) > 1 then list_transform(range(1, len(l)), lambda i: l[i] || ' ' || l[i + 1]) else l end) as shingle from w
+), n as (
+  select doc_id, count(*) as n from s group by doc_id
+), p as (
+  select a.doc_id as a, b.doc_id as b, count(*) as c from s a join s b on a.shingle = b.shingle and a.doc_id < b.doc_id group by all
+), e as (
+  select a, b from p join n x on x.doc_id = a join n y on y.doc_id = b where 100 * c >= 80 * (x.n + y.n - c)
+), both_ways as (
+  select a, b from e union select b, a from e
+), r as (
+  select doc_id, doc_id as c from documents union select r.doc_id, g.b from r join both_ways g on g.a = r.c
+)
+select doc_id, coalesce(n, 0) as n_shingles, component_id, doc_id = component_id as kept
+from (select doc_id, min(c) as component_id from r group by doc_id) left join n using (doc_id)
+"""

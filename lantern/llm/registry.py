@@ -18,4 +18,5 @@ QUERIES = {
 }
 ORACLES: dict[str, str] = {
     "op1_topk": topk.ORACLE,
+    "op4_minhash": neardup.ORACLE,
 }
