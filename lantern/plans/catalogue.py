@@ -347,7 +347,11 @@ def phrase_slop(spark, sf_dir):
     return _out(documents_engine(spark, sf_dir).matches(PhraseQuery(["of", "the"], slop=3)))
 
 
-@registered()
+@registered(DOCS + """, x as (select a.doc_id, a.pos p0, min(b.pos) p1 from tk a join tk b on a.doc_id = b.doc_id and a.term = 'of' and b.term = 'the' and abs(b.pos - (a.pos + 1)) <= 2 group by all),
+y as (select x.doc_id, p0, min(c.pos) p2 from x join tk c on x.doc_id = c.doc_id and c.term = 'and' and abs(c.pos - (p1 + 1)) <= 2 group by all),
+hit as (select distinct doc_id from y)
+select doc_id, round(2.0 * ln((n - df + 0.5) / (df + 0.5) + 1.0) * 2.2 / (1 + 1.2 * (0.25 + 0.75 * dl / greatest(avgdl, 1.0))), 6) as score
+from hit join dl using (doc_id), st, (select count(*) df from po where term = 'of')""")
 def phrase_three_slop(spark, sf_dir):
     return _out(documents_engine(spark, sf_dir).matches(PhraseQuery(["of", "the", "and"], slop=2)))
 
@@ -458,10 +462,10 @@ def facet_orders(spark, sf_dir):
     return facets.facet_counts(table(spark, sf_dir, "orders"), ["o_orderpriority", "o_orderstatus"])
 
 
-@registered(PARTS + "select doc_id, round(sum(s), 6) as score from sc where term = 'widget' and doc_id in (select p_partkey from part where p_retailprice >= 1000) group by doc_id")
+@registered(PARTS + "select doc_id, round(sum(s), 6) as score from sc where term = 'widget' and doc_id in (select p_partkey from part where p_retailprice >= 950) group by doc_id")
 def term_with_price_filter(spark, sf_dir):
     engine = parts_engine(spark, sf_dir)
-    return _out(Compiler(engine.index, engine.scorer).matched(TermQuery("widget"), F.col("p_retailprice") >= 1000))
+    return _out(Compiler(engine.index, engine.scorer).matched(TermQuery("widget"), F.col("p_retailprice") >= 950))
 
 
 @registered(PARTS + "select doc_id, round(max(s) * 2.0, 6) as score from sc where field = 'p_type' and starts_with(term, 'eco') group by doc_id")
