@@ -198,20 +198,20 @@ class Suffixes:
         found, live = np.full(len(a), most, np.int16), np.arange(len(a))
         words = self.words()
         for off in range(0, most, 8):
-            x, y = a[live] + off, b[live] + off
-            last = np.maximum(x, y) >= self.n
-            d = words[np.minimum(x, self.n - 1)] ^ words[np.minimum(y, self.n - 1)]
-            differ = d != 0
-            low = d & (~d + np.uint64(1))
-            byte = (np.frexp(low.astype(np.float64))[1] - 1) // 8
-            value = np.where(last, off, off + np.where(differ, byte, 8))
-            # Past the string's end nothing is common.
-            value = np.minimum(value, self.n - np.maximum(a[live], b[live]))
-            ended = differ | last | (value < off + 8)
-            found[live[ended]] = np.minimum(value[ended], most)
-            live = live[~ended]
-            if not len(live):
-                break
+            far = np.maximum(a, b)
+            d = words[np.minimum(a + off, self.n - 1)] ^ words[np.minimum(b + off, self.n - 1)]
+            ended = (d != 0) | (far + (off + 8) > self.n)
+            if ended.any():
+                e = np.flatnonzero(ended)
+                v = d[e]
+                low = v & (~v + np.uint64(1))
+                byte = np.where(v != 0, (np.frexp(low.astype(np.float64))[1] - 1) // 8, 8)
+                # Past the string's end nothing is common.
+                found[live[e]] = np.minimum(np.minimum(off + byte, np.maximum(self.n - far[e], 0)), most)
+                go = np.flatnonzero(~ended)
+                live, a, b = live[go], a[go], b[go]
+                if not len(go):
+                    break
         return found.astype(np.uint8)
 
     def induce(self, seeds: np.ndarray, seed_lcp: np.ndarray, with_lcp: bool):
@@ -262,7 +262,10 @@ class Suffixes:
             yield c, l_runs, s_runs, between
 
     def sorted_lms(self) -> tuple[np.ndarray, np.ndarray]:
-        """LMS suffixes in order (up to the depth) and their common prefixes."""
+        """LMS suffixes in order (up to the depth) and their common prefixes.
+
+        These are exact where they can matter for the depth, else 0.
+        """
         where = self.lms()
         if len(where) < 2:
             return where, np.zeros(len(where), np.uint8)
@@ -280,16 +283,17 @@ class Suffixes:
         long = np.append(where[1:], self.n) - where + 1
         a, b = where[ordered[:-1]], where[ordered[1:]]
         size = long[ordered]
-        fresh = size[1:] != size[:-1]
-        live = np.flatnonzero(~fresh)
-        off = 0
+        # Nothing equals the last one, which ends with the string.
+        last = ordered == len(where) - 1
+        fresh = (size[1:] != size[:-1]) | last[1:] | last[:-1]
+        live, words = np.flatnonzero(~fresh), self.words()
+        a, b, left = a[live], b[live], size[1:][live]
         while len(live):
-            x, y = a[live] + off, b[live] + off
-            inside = np.maximum(x, y) < self.n
-            differ = ~inside | (self.text[np.minimum(x, self.n - 1)] != self.text[np.minimum(y, self.n - 1)])
+            used = np.minimum(left, 8).astype(np.uint64) << np.uint64(3)
+            differ = (words[a] ^ words[b]) << (np.uint64(64) - used) != 0
             fresh[live[differ]] = True
-            off += 1
-            live = live[~differ & (size[1:][live] > off)]
+            go = np.flatnonzero(~differ & (left > 8))
+            live, a, b, left = live[go], a[go] + 8, b[go] + 8, left[go] - 8
         rank = np.empty(len(where), np.int64)
         rank[ordered] = np.concatenate(([0], np.cumsum(fresh)))
         order, h = ordered, 1
@@ -303,9 +307,20 @@ class Suffixes:
             h *= 2
         seeds = where[order]
         lcp = np.zeros(len(seeds), np.uint8)
+        reach = int(max(where[0], np.diff(where).max())) + 1
+        probe = self.depth - reach - 8
         for at in range(1, len(seeds), self.budget.block):
             stop = min(len(seeds), at + self.budget.block)
-            lcp[at:stop] = self.common(seeds[at - 1 : stop - 1], seeds[at:stop])
+            own = rank[order[at - 1 : stop]]
+            # Suffixes that doubling left tied share all names up to the depth.
+            apart = np.flatnonzero(own[1:] != own[:-1]) + at
+            lcp[at:stop] = self.depth
+            a, b = seeds[apart - 1], seeds[apart]
+            # A suffix lies less than ``reach`` before the LMS one that induces it. Two that differ within the
+            # first depth - reach bytes can't bring a pair to the depth, so 0 will do for how far they agree.
+            near = np.flatnonzero(words[np.minimum(a + probe, self.n - 1)] == words[np.minimum(b + probe, self.n - 1)]) if probe >= 0 else np.arange(len(a))
+            lcp[apart] = 0
+            lcp[apart[near]] = self.common(a[near], b[near])
         return seeds, lcp
 
 
