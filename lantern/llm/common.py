@@ -10,6 +10,8 @@ from pyspark.sql import DataFrame, SparkSession
 
 TABLE_FOLDER = "lantern-tables"
 
+_own: dict[str, str] = {}
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
@@ -21,10 +23,12 @@ def shared_dir(spark: SparkSession) -> str:
     Only a session without one (a local test) gets a folder of its own.
     """
     named = spark.conf.get("spark.checkpoint.dir", None)
-    if not named:
-        named = "file://" + tempfile.mkdtemp(prefix="lantern-shared-")
-        spark.conf.set("spark.checkpoint.dir", named)
-    return named.rstrip("/")
+    if named:
+        return named.rstrip("/")
+    app = spark.sparkContext.applicationId
+    if app not in _own:
+        _own[app] = "file://" + tempfile.mkdtemp(prefix="lantern-shared-")
+    return _own[app]
 
 
 def written(df: DataFrame, label: str) -> DataFrame:

@@ -62,9 +62,10 @@ def signatures(docs: DataFrame, bands: int, rows: int) -> DataFrame:
 
 def confirmed(pairs: DataFrame, texts: DataFrame, percent: int) -> DataFrame:
     """The pairs (a, b) whose full shingle sets reach the threshold."""
-    # Texts are spread by their own ids; a pair takes its two texts one after the other.
-    left = pairs.join(texts.select(F.col("doc_id").alias("a"), F.col("text").alias("text_a")), "a")
-    both = left.join(texts.select(F.col("doc_id").alias("b"), F.col("text").alias("text_b")), "b")
+    # Each b is in few pairs, so the first join is even. In the second, a pivot of very many pairs makes a
+    # partition of many texts, whose size Spark sees and splits.
+    right = pairs.join(texts.select(F.col("doc_id").alias("b"), F.col("text").alias("text_b")), "b")
+    both = right.join(texts.select(F.col("doc_id").alias("a"), F.col("text").alias("text_a")), "a")
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         last: dict[int, tuple[str, np.ndarray]] = {}
