@@ -209,11 +209,11 @@ class Compiler:
                 continue
             distinct = sorted(set(words))
             rows = self.index.postings.where((F.col("field") == f) & F.col("term").isin(*distinct))
-            first = self.index.terms.where((F.col("field") == f) & (F.col("term") == words[0])).select("df")
+            first = self.index.terms.where((F.col("field") == f) & (F.col("term") == words[0])).select("term", "df")
             grouped = rows.groupBy("doc_id").agg(F.map_from_entries(F.collect_list(F.struct("term", "positions"))).alias("at"), F.max("dl").alias("dl"))
             places = F.array(*(F.col("at")[w] for w in words))
             boost, avg = self._field_facts(F.lit(f))
-            hits = grouped.where((F.size("at") == len(distinct)) & follows(places, q.slop)).crossJoin(F.broadcast(first))  # one row
+            hits = grouped.where((F.size("at") == len(distinct)) & follows(places, q.slop)).withColumn("term", F.lit(words[0])).join(F.broadcast(first), "term")  # one row
             score = self.scorer.column(F.lit(1), F.col("df"), F.col("dl"), avg, F.lit(self.index.doc_count)) * boost * float(q.boost) * PHRASE_FACTOR
             out.append(hits.select("doc_id", F.lit(leaf.name).alias("leaf"), score.alias("score")))
         return out

@@ -285,7 +285,7 @@ class SearchEngine:
         if not index.docs.columns:
             return
         layout = {
-            "postings": lambda d: d.repartitionByRange("field", "term").sortWithinPartitions("field", "term", "doc_id").write.partitionBy("field"),
+            "postings": lambda d: d.repartitionByRange("field", "term", "doc_id").sortWithinPartitions("field", "term", "doc_id").write.partitionBy("field"),
             "terms": lambda d: d.repartitionByRange("field", "term").sortWithinPartitions("field", "term").write.partitionBy("field"),
             "docs": lambda d: d.write,
         }
