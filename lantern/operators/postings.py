@@ -16,6 +16,7 @@ from lantern.functions.text import strip_space
 from lantern.sources.schema import Schema
 
 POSTINGS = "field string, term string, doc_id bigint, tf bigint, positions array<int>, dl int"
+TERMS = "field string, term string, df bigint, cf bigint"
 LENGTHS = "field string, doc_id bigint, dl int"
 
 

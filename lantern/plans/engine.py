@@ -86,8 +86,6 @@ class SearchEngine:
         self._buffer: list[tuple[int, dict]] = []
         self._docs: DataFrame | None = None
         self._index: Index | None = None
-        self._built: tuple[DataFrame, DataFrame] | None = None
-        self._gone: set[int] = set()
         self._next = 0
         self._phantom: set[str] = set()
         self._dirty = False
@@ -171,8 +169,6 @@ class SearchEngine:
         """Drops a document; False if there is none of that id."""
         if self.get(doc_id) is None:
             return False
-        if self._index is not None:
-            self._built = self._index.postings, self._index.docs
         gone = self.spark.createDataFrame([(doc_id,)], "doc_id bigint")
         self._buffer = [(i, d) for i, d in self._buffer if i != doc_id]
         if self._docs is not None:
@@ -208,7 +204,8 @@ class SearchEngine:
     @property
     def index(self) -> Index:
         if self._index is None:
-            docs = self.documents.persist(StorageLevel.MEMORY_AND_DISK)
+            # Documents are read where they lie; only what was computed from them is kept.
+            docs = self.documents
             postings = index_ops.build_postings(docs, self.schema).persist(StorageLevel.MEMORY_AND_DISK)
             lengths = index_ops.field_lengths(docs, self.schema)
             self._index = self._facts(docs, postings, lengths)
@@ -277,34 +274,54 @@ class SearchEngine:
 
     # ----------------------------------------------------- persistence
 
-    def commit(self) -> None:
-        if not (self._store and self._dirty):
-            return
+    def tables(self) -> tuple[dict[str, DataFrame], dict]:
+        """The whole index as tables, and the facts that go with them."""
         index = self.index
         tables = {"docs": index.docs, "postings": index.postings, "terms": index.terms, "lengths": index_ops.field_lengths(index.docs, self.schema)}
-        if not index.docs.columns:
+        facts = {"schema": self.schema.to_json(), "next_doc_id": self._next, "doc_count": index.doc_count, "total_lengths": index.total_lengths, "phantom": sorted(self._phantom)}
+        return tables, facts
+
+    def load_tables(self, tables: dict[str, DataFrame], facts: dict) -> None:
+        """Takes over an index as :meth:`tables` gives it, in place of its own."""
+        if facts["schema"] != self.schema.to_json():
+            raise ValueError("the index has another schema")
+        self._docs, self._buffer, self._next = tables["docs"], [], facts["next_doc_id"]
+        self._phantom = set(facts["phantom"])
+        shaped = [tables[t] if facts["doc_count"] else self.spark.createDataFrame([], shape) for t, shape in (("postings", index_ops.POSTINGS), ("terms", index_ops.TERMS))]
+        self._index = Index(self.spark, self.schema, tables["docs"], *shaped, facts["doc_count"], facts["total_lengths"])
+
+    def export_json(self, path: str) -> None:
+        """Every table as JSON lines in a folder, and facts.json's one line."""
+        tables, facts = self.tables()
+        for name, df in tables.items():
+            df.write.mode("overwrite").json(f"{path}/{name}")
+        self.spark.createDataFrame([(json.dumps(facts),)], "value string").coalesce(1).write.mode("overwrite").text(f"{path}/facts")
+
+    def import_json(self, path: str) -> None:
+        facts = json.loads(self.spark.read.text(f"{path}/facts").first()[0])
+        shapes = {"postings": index_ops.POSTINGS, "terms": index_ops.TERMS, "lengths": index_ops.LENGTHS}
+        tables = {n: self.spark.read.schema(s).json(f"{path}/{n}") for n, s in shapes.items()}
+        docs = self.spark.read.json(f"{path}/docs") if facts["doc_count"] else self.spark.createDataFrame([], f"doc_id bigint, `{SOURCE}` string")
+        self.load_tables({**tables, "docs": docs}, facts)
+        self._dirty = True
+
+    def commit(self) -> None:
+        if not (self._store and self._dirty):
             return
+        tables, facts = self.tables()
         layout = {
             "postings": lambda d: d.repartitionByRange("field", "term", "doc_id").sortWithinPartitions("field", "term", "doc_id").write.partitionBy("field"),
             "terms": lambda d: d.repartitionByRange("field", "term").sortWithinPartitions("field", "term").write.partitionBy("field"),
             "docs": lambda d: d.write,
         }
-        facts = {"schema": self.schema.to_json(), "next_doc_id": self._next, "doc_count": index.doc_count, "total_lengths": index.total_lengths, "phantom": sorted(self._phantom)}
         self._store.compact(tables, facts=facts, layout=layout)
         self._dirty = False
         self._load()
 
     def _load(self) -> None:
         got = self._store.load_latest()
-        if not got:
-            return
-        tables, facts = got
-        if facts["schema"] != self.schema.to_json():
-            raise ValueError("the stored index has another schema")
-        self._docs, self._buffer, self._next = tables["docs"], [], facts["next_doc_id"]
-        self._phantom = set(facts["phantom"])
-        shaped = [tables[t] if facts["doc_count"] else self.spark.createDataFrame([], shape) for t, shape in (("postings", index_ops.POSTINGS), ("terms", "field string, term string, df bigint, cf bigint"))]
-        self._index = Index(self.spark, self.schema, tables["docs"], *shaped, facts["doc_count"], facts["total_lengths"])
+        if got:
+            self.load_tables(*got)
 
     def close(self) -> None:
         self.commit()

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import functools
+import sys
 import time
 
 from pyspark.sql import Column
@@ -18,6 +19,17 @@ def format_size(n: float) -> str:
     return f"{n:.1f} {units[power]}"
 
 
+def deep_size(value, seen: set[int] | None = None) -> int:
+    """Bytes of a Python object and all it holds, each counted once."""
+    seen = set() if seen is None else seen
+    if id(value) in seen:
+        return 0
+    seen.add(id(value))
+    inner = [*value.keys(), *value.values()] if isinstance(value, dict) else value if isinstance(value, (list, tuple, set, frozenset)) else []
+    more = [value.__dict__] if hasattr(value, "__dict__") else []
+    return sys.getsizeof(value) + sum(deep_size(v, seen) for v in (*inner, *more))
+
+
 class Timer:
     """``with Timer() as t: ...`` leaves seconds and milliseconds in ``t``."""
 

@@ -17,11 +17,11 @@ from lantern.streaming.ingest import index_stream
 from tests.brute import Brute
 
 DOCS = [
-    {"title": "Python Basics", "body": "Python is a language. Learning python is running fast", "tags": ["python", " Beginner "], "author": "Haji Rufai", "year": 2020},
+    {"title": "Python Basics", "body": "Python is a language. Learning python is running fast", "tags": ["python", " Beginner "], "author": "Ada Stone", "year": 2020},
     {"title": "Java Guide", "body": "Java is verbose; the agreed state of art", "tags": ["java", "java"], "author": "bob", "year": 2024.5},
     {"title": "Machine learning", "body": "machine learning with python and big data. data machine", "tags": "ml", "author": None, "year": "2022"},
     {"title": "", "body": "working works work", "extra": True, "year": "nan"},
-    {"body": "café résumé machine-learning don't", "tags": [], "author": "haji", "year": "x"},
+    {"body": "café résumé machine-learning don't", "tags": [], "author": "ada", "year": "x"},
 ]
 
 
@@ -42,7 +42,7 @@ def ids(engine, q, **more):
 
 WANTED = {
     "python": [0, 2], "python AND machine": [2], "python machine": [2], "java OR machine": [1, 2], "NOT python": [], "python AND NOT machine": [], "python OR NOT java": [0, 2], "the python": [], "title:python": [0], "nofield:python": [],
-    '"machine learning"': [2], '"state of art"': [], '"the state"': [1], "work": [3], "machine": [2], "machine-learning": [4], "run*": [0], "running*": [], "pyth*": [0, 2], "agre*": [], "title:*": [0, 1, 2], "author:haji": [4], "author:haj*": [0, 4],
+    '"machine learning"': [2], '"state of art"': [], '"the state"': [1], "work": [3], "machine": [2], "machine-learning": [4], "run*": [0], "running*": [], "pyth*": [0, 2], "agre*": [], "title:*": [0, 1, 2], "author:ada": [4], "author:ad*": [0, 4],
     "tags:beginner": [0], "tags:java": [1], "*": [0, 1, 2, 3, 4], "café": [4], "cafe": [], "a:b:c": [], 'tags:"ml"': [2], 'title:""': [], "foo.bar": [], "python.x": [0, 2],
 }
 
@@ -53,7 +53,7 @@ def test_which_documents_match(engine, query):
 
 
 def random_tree(r: random.Random, depth: int) -> Query:
-    word = lambda: r.choice("alpha beta gamma delta running work the zz a1 ml java Haji".split())
+    word = lambda: r.choice("alpha beta gamma delta running work the zz a1 ml java Ada".split())
     field = lambda: r.choice([None, None, "title", "body", "tags", "author", "nope"])
     kind = r.random()
     if depth and kind < 0.5:
@@ -75,12 +75,12 @@ def test_random_trees_equal_brute_force(spark):
     words = "alpha beta gamma delta running works the zz a1 agreed".split()
     docs = {}
     for i in range(25):
-        d = {"title": " ".join(r.choice(words) for _ in range(r.randint(0, 3))), "body": " ".join(r.choice(words) for _ in range(r.randint(0, 9))), "tags": [r.choice(["ml", "java", "Haji", " ", "alpha"]) for _ in range(r.randint(0, 3))], "author": r.choice([None, "java", "beta"]), "year": r.choice([None, 1, 5, 9.5])}
+        d = {"title": " ".join(r.choice(words) for _ in range(r.randint(0, 3))), "body": " ".join(r.choice(words) for _ in range(r.randint(0, 9))), "tags": [r.choice(["ml", "java", "Ada", " ", "alpha"]) for _ in range(r.randint(0, 3))], "author": r.choice([None, "java", "beta"]), "year": r.choice([None, 1, 5, 9.5])}
         docs[i] = {k: v for k, v in d.items() if v is not None and r.random() < 0.9}
     e = SearchEngine(schema=schema(), spark=spark)
     e.add_many(list(docs.values()))
     brute = Brute(schema(), docs)
-    for k in range(40):
+    for k in range(25):
         q = random_tree(r, 2)
         got, want = {x.doc_id: x.score for x in e.matches(q).collect()}, brute.run(q)
         assert got.keys() == want.keys(), q
@@ -166,6 +166,17 @@ def test_persistence(spark, tmp_path):
         SearchEngine(path, Schema(content=TextField()), spark=spark)
 
 
+def test_json_export(spark, tmp_path):
+    e = SearchEngine(schema=schema(), spark=spark)
+    e.add_many(DOCS)
+    e.export_json(str(tmp_path / "j"))
+    again = SearchEngine(schema=schema(), spark=spark)
+    again.import_json(str(tmp_path / "j"))
+    assert ids(again, "python") == [0, 2] and again.get(1) == DOCS[1] and again.add({"title": "sixth"}) == 5 and ids(again, "sixth") == [5]
+    with pytest.raises(ValueError):
+        SearchEngine(spark=spark).import_json(str(tmp_path / "j"))
+
+
 def test_segments(spark, tmp_path):
     s = SegmentStore(spark, str(tmp_path / "s"))
     assert not s.exists() and s.list_segments() == [] and s.load_latest() is None and s.load_segment("x") is None and s.index_size_bytes() == 0

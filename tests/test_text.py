@@ -97,6 +97,8 @@ def test_helpers(spark, capsys):
     assert util.truncate("a" * 10, 8) == "aaaaa..." and util.truncate("abc", 8) == "abc"
     df = spark.createDataFrame([("a" * 10,), ("abc",)], "s string")
     assert [r[0] for r in df.select(util.truncate_column(F.col("s"), 8)).collect()] == ["aaaaa...", "abc"]
+    shared = ["x" * 1000]
+    assert 1000 < util.deep_size({"a": shared, "b": shared}) < 2000
     with util.Timer() as t:
         pass
     assert t.elapsed_ms >= 0 and util.timed(lambda: 3)() == 3 and "ms" in capsys.readouterr().out
