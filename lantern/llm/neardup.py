@@ -7,6 +7,8 @@
 2. Rows of one word sequence form a class; only its representative goes on, so
    a text repeated in a third of all rows is one row from here.
 3. A bucket's members are compared with its least member only.  Candidates are
+   verified by signatures (one bit of each minimum; pairs that differ in more bits
+   than a linked pair can but with a probability below 1e-9 go), the rest
    confirmed on the full shingle sets, and confirmed links joined to components.
 4. Buckets whose members all lie in one component are done.  For the rest, the
    pairs from different components (never those of one) are confirmed too, so
@@ -21,6 +23,7 @@ ignored.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -35,6 +38,22 @@ BANDS, ROWS = 44, 5
 THRESHOLD_PERCENT = 80
 
 
+def most_bits(minima: int, percent: int) -> int:
+    """Bits in which a linked pair's signatures differ at most, but for less than 1e-9.
+
+    A bit differs with half the probability that a minimum does: the binomial's
+    upper tail beyond the result is below 1e-9 at the threshold.
+    """
+    p, tail, k = (100 - percent) / 200, 0.0, minima
+    while k > 0:
+        log_term = math.lgamma(minima + 1) - math.lgamma(k + 1) - math.lgamma(minima - k + 1) + (k * math.log(p) if p else -math.inf) + (minima - k) * math.log1p(-p)
+        tail += math.exp(log_term)
+        if tail >= 1e-9:
+            return k
+        k -= 1
+    return 0
+
+
 def signatures(docs: DataFrame, bands: int, rows: int) -> DataFrame:
     import xxhash
 
@@ -43,7 +62,7 @@ def signatures(docs: DataFrame, bands: int, rows: int) -> DataFrame:
         for batch in batches:
             for at in range(0, batch.num_rows, 512):
                 part = batch.slice(at, 512)
-                counts, high, low, keys = [], [], [], []
+                counts, high, low, keys, bits = [], [], [], [], []
                 for text in part["text"].to_pylist():
                     words = shingles.word_hashes((text or "").encode())
                     found = shingles.shingle_set(words)
@@ -51,13 +70,15 @@ def signatures(docs: DataFrame, bands: int, rows: int) -> DataFrame:
                     whole = xxhash.xxh3_128_intdigest(words.tobytes()) if len(found) else None
                     high.append(None if whole is None else (whole >> 64) - (1 << 63))
                     low.append(None if whole is None else (whole & (1 << 64) - 1) - (1 << 63))
-                    keys.append(hasher.keys(found) if len(found) else None)
+                    key, bit = hasher.keys(found) if len(found) else (None, None)
+                    keys.append(key)
+                    bits.append(bit)
                 yield pa.RecordBatch.from_arrays(
-                    [part["doc_id"], part["sum"], pa.array(counts, pa.int64()), pa.array(high, pa.int64()), pa.array(low, pa.int64()), pa.array(keys, pa.list_(pa.int64()))],
-                    ["doc_id", "sum", "n_shingles", "high", "low", "keys"],
+                    [part["doc_id"], part["sum"], pa.array(counts, pa.int64()), pa.array(high, pa.int64()), pa.array(low, pa.int64()), pa.array(keys, pa.list_(pa.int64())), pa.array(bits, pa.list_(pa.int64()))],
+                    ["doc_id", "sum", "n_shingles", "high", "low", "keys", "bits"],
                 )
 
-    return docs.mapInArrow(sign, "doc_id long, sum long, n_shingles long, high long, low long, keys array<long>")
+    return docs.mapInArrow(sign, "doc_id long, sum long, n_shingles long, high long, low long, keys array<long>, bits array<long>")
 
 
 def confirmed(pairs: DataFrame, texts: DataFrame, percent: int) -> DataFrame:
@@ -105,16 +126,18 @@ def near_duplicates(docs: DataFrame, bands: int = BANDS, rows: int = ROWS, perce
         own = own.join(several, "doc_id", "left").where("least is null or sum = least").drop("least")
     # A class's representative; equal word sequences have equal sets, so any row's keys do.
     classes = common.written(
-        own.groupBy("high", "low").agg(F.min("doc_id").alias("rep"), F.first("n_shingles").alias("n"), F.first("keys").alias("keys")),
+        own.groupBy("high", "low").agg(F.min("doc_id").alias("rep"), F.first("n_shingles").alias("n"), F.first("keys").alias("keys"), F.first("bits").alias("bits")),
         "classes",
     )
-    banded = classes.select("rep", "n", F.explode("keys").alias("key"))
+    banded = classes.select("rep", "n", "bits", F.explode("keys").alias("key"))
     buckets = banded.groupBy("key").agg(F.min("rep").alias("pivot"), F.count(F.lit(1)).alias("size")).where("size > 1").select("key", "pivot")
-    near = f"100 * least(n, m) >= {percent} * greatest(n, m)"
+    words = -(-bands * rows // 64)
+    apart_bits = " + ".join(f"bit_count(bits[{k}] ^ others[{k}])" for k in range(words))
+    near = f"100 * least(n, m) >= {percent} * greatest(n, m) and {apart_bits} <= {most_bits(bands * rows, percent)}"
     members = common.written(banded.join(buckets, "key"), "members")
 
-    pivots = classes.select(F.col("rep").alias("pivot"), F.col("n").alias("m"))
-    star = members.where("rep <> pivot").select("rep", "n", "pivot").distinct().join(pivots, "pivot").where(near)
+    pivots = classes.select(F.col("rep").alias("pivot"), F.col("n").alias("m"), F.col("bits").alias("others"))
+    star = members.where("rep <> pivot").dropDuplicates(["rep", "pivot"]).select("rep", "n", "bits", "pivot").join(pivots, "pivot").where(near)
     tried = common.written(star.select(F.col("pivot").alias("a"), F.col("rep").alias("b")), "tried")
     # Only texts in shared buckets are ever compared; one written copy serves both rounds.
     chosen = members.select(F.col("rep").alias("doc_id")).distinct()
@@ -124,10 +147,10 @@ def near_duplicates(docs: DataFrame, bands: int = BANDS, rows: int = ROWS, perce
     first = connected(links)
 
     placed = members.join(first.select(F.col("node").alias("rep"), "component"), "rep", "left").withColumn("component", F.coalesce("component", "rep"))
-    placed = common.written(placed.select("key", "rep", "n", "component"), "placed")
+    placed = common.written(placed.select("key", "rep", "n", "bits", "component"), "placed")
     mixed = placed.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low < high").select("key")
     apart = placed.join(mixed, "key")
-    other = apart.select("key", F.col("rep").alias("b"), F.col("n").alias("m"), F.col("component").alias("other"))
+    other = apart.select("key", F.col("rep").alias("b"), F.col("n").alias("m"), F.col("bits").alias("others"), F.col("component").alias("other"))
     across = apart.withColumnRenamed("rep", "a").join(other, "key").where(f"component <> other and a < b and {near}").select("a", "b").distinct()
     left = common.written(across.join(tried, ["a", "b"], "left_anti"), "across")
     if common.has_rows(left):

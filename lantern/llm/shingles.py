@@ -87,6 +87,11 @@ class MinHash:
             np.minimum(least, h.min(axis=1), out=least)
         return least >> np.uint64(32)
 
-    def keys(self, shingles: np.ndarray) -> np.ndarray:
-        s = self.signature(shingles).reshape(self.bands, self.rows)
-        return mix((mix(s) * self.weights).sum(axis=1, dtype=np.uint64) + self.salts).view(np.int64)
+    def keys(self, shingles: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """A key for each band, and one bit of each minimum in 64-bit words."""
+        s = self.signature(shingles)
+        bits = np.zeros(-(-len(s) // 64) * 64, np.uint8)
+        bits[: len(s)] = s & np.uint64(1)
+        s = s.reshape(self.bands, self.rows)
+        keys = mix((mix(s) * self.weights).sum(axis=1, dtype=np.uint64) + self.salts)
+        return keys.view(np.int64), np.packbits(bits).view(np.int64)

@@ -97,3 +97,16 @@ def test_long_texts_hash_alike_in_segments(monkeypatch):
     whole = shingles.word_hashes(raw)
     monkeypatch.setattr(shingles, "_WIDE", 64)
     assert np.array_equal(whole, shingles.word_hashes(raw)) and len(whole) == 401
+
+
+def test_bits_of_linked_pairs_stay_within_the_limit():
+    r = np.random.default_rng(3)
+    hasher, limit = shingles.MinHash(44, 5), neardup.most_bits(220, 80)
+    assert 45 <= limit <= 58 and neardup.most_bits(220, 100) == 0
+    for size in (9, 90, 900):
+        for _ in range(30):
+            both = shingles.mix(r.integers(0, 1 << 62, size, dtype=np.uint64))
+            cut = size // 9  # intersection 8 / 10 of the union
+            more = shingles.mix(r.integers(0, 1 << 62, 2 * cut, dtype=np.uint64))
+            a, b = (hasher.keys(np.sort(np.concatenate((both[: 8 * cut], x))))[1] for x in (more[:cut], more[cut:]))
+            assert sum(int(x).bit_count() for x in (a ^ b).view(np.uint64)) <= limit
