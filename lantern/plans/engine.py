@@ -10,6 +10,7 @@ from typing import Any
 from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from lantern.functions.scoring import Scorer, scorer_of
 from lantern.functions.snippets import Highlighter
@@ -67,6 +68,23 @@ def dense_ids(df: DataFrame, start: int, column: str = "doc_id") -> DataFrame:
     return joined.select((F.col("_base") + F.col("_at").bitwiseAND(F.lit((1 << 33) - 1))).alias(column), *(F.col(f"`{c}`") for c in df.columns))
 
 
+def together(a: DataFrame, b: DataFrame) -> DataFrame:
+    """Rows of both; a column of two kinds becomes text, or lists of text.
+
+    Numbers of two widths stay numbers.
+    """
+    changed: list[dict] = [{}, {}]
+    for name in set(a.columns) & set(b.columns):
+        kinds = [d.schema[name].dataType for d in (a, b)]
+        if kinds[0] == kinds[1] or all(isinstance(k, T.NumericType) for k in kinds):
+            continue
+        lists = any(isinstance(k, T.ArrayType) for k in kinds)
+        for d, kind, out in zip((a, b), kinds, changed):
+            out[name] = index_ops.keyword_values(d, name) if lists else index_ops.text_of(F.col(f"`{name}`"), kind)
+    a, b = (d.withColumns(c) if c else d for d, c in zip((a, b), changed))
+    return a.unionByName(b, allowMissingColumns=True)
+
+
 class SearchEngine:
     """Full-text search over DataFrames.
 
@@ -85,6 +103,9 @@ class SearchEngine:
         self._store = SegmentStore(self.spark, path) if path else None
         self._buffer: list[tuple[int, dict]] = []
         self._docs: DataFrame | None = None
+        # Postings and lengths of the documents indexed so far, and the documents that are not yet in them.
+        self._base: tuple[DataFrame, DataFrame] | None = None
+        self._fresh: DataFrame | None = None
         self._index: Index | None = None
         self._next = 0
         self._phantom: set[str] = set()
@@ -113,13 +134,22 @@ class SearchEngine:
         else:
             rows = dense_ids(df, self._next)
             self._next += rows.count()
-        self._docs = rows if self._docs is None else self._docs.unionByName(rows, allowMissingColumns=True)
+        self._append(rows)
         self._phantom |= {n for n in self.schema.get_numeric_fields() if n in df.columns}
         self._touched()
 
     def _touched(self) -> None:
         self._index, self._dirty = None, True
 
+    def _append(self, new: DataFrame) -> None:
+        self._docs, self._fresh = (new if d is None else together(d, new) for d in (self._docs, self._fresh))
+
+    def _without(self, gone: DataFrame) -> None:
+        self._docs, self._fresh = (d and d.join(gone, "doc_id", "left_anti") for d in (self._docs, self._fresh))
+        self._base = self._base and tuple(d.join(gone, "doc_id", "left_anti") for d in self._base)
+        self._phantom = set()
+        self._touched()
+
     def _row(self, doc_id: int, document: dict) -> dict:
         row: dict[str, Any] = {"doc_id": doc_id, SOURCE: json.dumps(document, default=str)}
         for name, value in document.items():
@@ -162,28 +192,21 @@ class SearchEngine:
                         r[name] = str(r[name])
         names = [s.split()[0].strip("`") for s in shape]
         new = self.spark.createDataFrame([tuple(r.get(n) for n in names) for r in rows], ", ".join(shape))
-        self._docs = new if self._docs is None else self._docs.unionByName(new, allowMissingColumns=True)
+        self._append(new)
         self._buffer = []
 
     def remove(self, doc_id: int) -> bool:
         """Drops a document; False if there is none of that id."""
         if self.get(doc_id) is None:
             return False
-        gone = self.spark.createDataFrame([(doc_id,)], "doc_id bigint")
         self._buffer = [(i, d) for i, d in self._buffer if i != doc_id]
-        if self._docs is not None:
-            self._docs = self._docs.join(gone, "doc_id", "left_anti")
-        self._phantom = set()
-        self._touched()
+        self._without(self.spark.createDataFrame([(doc_id,)], "doc_id bigint"))
         return True
 
     def remove_where(self, ids: DataFrame) -> None:
         """Drops the documents of a table of doc_ids, in bulk."""
         self._flush()
-        if self._docs is not None:
-            self._docs = self._docs.join(ids.select("doc_id"), "doc_id", "left_anti")
-        self._phantom = set()
-        self._touched()
+        self._without(ids.select("doc_id"))
 
     def get(self, doc_id: int) -> dict | None:
         for i, d in self._buffer:
@@ -205,10 +228,16 @@ class SearchEngine:
     def index(self) -> Index:
         if self._index is None:
             # Documents are read where they lie; only what was computed from them is kept.
-            docs = self.documents
-            postings = index_ops.build_postings(docs, self.schema).persist(StorageLevel.MEMORY_AND_DISK)
-            lengths = index_ops.field_lengths(docs, self.schema)
-            self._index = self._facts(docs, postings, lengths)
+            docs, before = self.documents, self._base
+            if before is None:
+                postings, lengths = index_ops.build_postings(docs, self.schema), index_ops.field_lengths(docs, self.schema)
+            else:
+                postings, lengths = before
+                if self._fresh is not None:  # an append analyses what is new
+                    postings = postings.unionByName(index_ops.build_postings(self._fresh, self.schema))
+                    lengths = lengths.unionByName(index_ops.field_lengths(self._fresh, self.schema))
+            self._base, self._fresh = (postings.persist(StorageLevel.MEMORY_AND_DISK), lengths), None
+            self._index = self._facts(docs, *self._base)
         return self._index
 
     def _facts(self, docs: DataFrame, postings: DataFrame, lengths: DataFrame) -> Index:
@@ -277,7 +306,7 @@ class SearchEngine:
     def tables(self) -> tuple[dict[str, DataFrame], dict]:
         """The whole index as tables, and the facts that go with them."""
         index = self.index
-        tables = {"docs": index.docs, "postings": index.postings, "terms": index.terms, "lengths": index_ops.field_lengths(index.docs, self.schema)}
+        tables = {"docs": index.docs, "postings": index.postings, "terms": index.terms, "lengths": self._base[1]}
         facts = {"schema": self.schema.to_json(), "next_doc_id": self._next, "doc_count": index.doc_count, "total_lengths": index.total_lengths, "phantom": sorted(self._phantom)}
         return tables, facts
 
@@ -285,10 +314,12 @@ class SearchEngine:
         """Takes over an index as :meth:`tables` gives it, in place of its own."""
         if facts["schema"] != self.schema.to_json():
             raise ValueError("the index has another schema")
-        self._docs, self._buffer, self._next = tables["docs"], [], facts["next_doc_id"]
+        self._docs, self._fresh, self._buffer, self._next = tables["docs"], None, [], facts["next_doc_id"]
         self._phantom = set(facts["phantom"])
-        shaped = [tables[t] if facts["doc_count"] else self.spark.createDataFrame([], shape) for t, shape in (("postings", index_ops.POSTINGS), ("terms", index_ops.TERMS))]
-        self._index = Index(self.spark, self.schema, tables["docs"], *shaped, facts["doc_count"], facts["total_lengths"])
+        shapes = {"postings": index_ops.POSTINGS, "terms": index_ops.TERMS, "lengths": index_ops.LENGTHS}
+        shaped = {t: tables[t].select(*self.spark.createDataFrame([], shape).columns) if facts["doc_count"] else self.spark.createDataFrame([], shape) for t, shape in shapes.items()}
+        self._base = shaped["postings"], shaped["lengths"]
+        self._index = Index(self.spark, self.schema, tables["docs"], shaped["postings"], shaped["terms"], facts["doc_count"], facts["total_lengths"])
 
     def export_json(self, path: str) -> None:
         """Every table as JSON lines in a folder, and facts.json's one line."""

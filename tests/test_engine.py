@@ -166,6 +166,27 @@ def test_persistence(spark, tmp_path):
         SearchEngine(path, Schema(content=TextField()), spark=spark)
 
 
+def test_appends_and_removals_equal_a_fresh_build(spark, tmp_path):
+    e = SearchEngine(str(tmp_path / "i"), schema(), spark=spark)
+    e.add_many(DOCS[:2])
+    assert ids(e, "python") == [0]
+    e.add_many(DOCS[2:])
+    assert ids(e, "python") == [0, 2]
+    e.commit()
+    e.add_many(DOCS[:3])
+    e.remove(1)
+    e.add({"body": "python again", "tags": ["late"]})
+    e.remove(6)
+    fresh = Brute(schema(), {i: d for i, d in enumerate([*DOCS, *DOCS[:3], {"body": "python again", "tags": ["late"]}]) if i not in (1, 6)})
+    for again in (e, None):
+        if again is None:
+            e.commit()
+            again = SearchEngine(str(tmp_path / "i"), schema(), spark=spark)
+        for q in ("python OR java", "machine learning", "tags:late", "p*"):
+            want = fresh.run(again.parse(q))
+            assert {r.doc_id: r.score for r in again.matches(q).collect()} == pytest.approx(want)
+
+
 def test_json_export(spark, tmp_path):
     e = SearchEngine(schema=schema(), spark=spark)
     e.add_many(DOCS)
