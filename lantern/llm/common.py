@@ -7,9 +7,13 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 TABLE_FOLDER = "lantern-tables"
 
+#: Tables of keys with no more rows than this may be broadcast; larger ones are joined by a shuffle.
+BROADCAST_ROWS = 1 << 19
+
 _own: dict[str, str] = {}
 
 
@@ -60,3 +64,8 @@ def tokenizer_path(name: str) -> str:
     import public_tokenizers
 
     return os.fspath(public_tokenizers.path(name))
+
+
+def small(keys: DataFrame) -> DataFrame:
+    """``keys`` (a written table) to join with: broadcast only if its rows, counted, are few."""
+    return F.broadcast(keys) if keys.count() <= BROADCAST_ROWS else keys

@@ -140,7 +140,7 @@ def near_duplicates(docs: DataFrame, bands: int = BANDS, rows: int = ROWS, perce
     star = members.where("rep <> pivot").dropDuplicates(["rep", "pivot"]).select("rep", "n", "bits", "pivot").join(pivots, "pivot").where(near)
     tried = common.written(star.select(F.col("pivot").alias("a"), F.col("rep").alias("b")), "tried")
     # Only texts in shared buckets are ever compared; one written copy serves both rounds.
-    chosen = members.select(F.col("rep").alias("doc_id")).distinct()
+    chosen = common.small(common.written(members.select(F.col("rep").alias("doc_id")).distinct(), "chosen"))
     one = plain.where(F.col("text").rlike(r"[^ \t\n\x0B\f\r]")).join(chosen, "doc_id", "left_semi").groupBy("doc_id").agg(F.min_by("text", "sum").alias("text"))
     texts = common.written(one, "texts")
     links = common.written(confirmed(tried, texts, percent), "links")
@@ -176,7 +176,7 @@ def one_of_each(docs: DataFrame, **options) -> DataFrame:
     ids = found.where("doc_id is not null").groupBy("doc_id").agg(F.count(F.lit(1)).alias("n"))
     if common.has_rows(ids.where("n > 1")):
         docs = docs.dropDuplicates(["doc_id", "text"])
-    gone = found.where("not kept").select(F.col("doc_id").alias("gone")).distinct()
+    gone = common.small(common.written(found.where("not kept").select(F.col("doc_id").alias("gone")).distinct(), "gone"))
     return docs.join(gone, F.col("doc_id").cast("long") == F.col("gone"), "left_anti")
 
 

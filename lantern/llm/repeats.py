@@ -240,7 +240,8 @@ def _counted(rows: DataFrame, length: int) -> DataFrame:
 def _same(a: DataFrame, b: DataFrame, how: str) -> DataFrame:
     """Join on (sum, doc_id), null ids being equal to each other."""
     b = b.withColumnRenamed("doc_id", "id_b").withColumnRenamed("sum", "sum_b")
-    return a.join(b, (F.col("sum") == F.col("sum_b")) & F.col("doc_id").eqNullSafe(F.col("id_b")), how).drop("id_b", "sum_b")
+    joined = a.join(b, (F.col("sum") == F.col("sum_b")) & F.col("doc_id").eqNullSafe(F.col("id_b")), how)
+    return joined if how in ("left_semi", "left_anti") else joined.drop("id_b", "sum_b")
 
 
 def spans(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, hot_contexts: int = HOT_CONTEXTS, bloom_bits: int = BLOOM_BITS, budget: tuple = ()) -> DataFrame:
@@ -257,8 +258,10 @@ def spans(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, hot_contexts:
     several = each.groupBy("gram").agg(F.count(F.lit(1)).alias("distinct")).where("distinct > 1")
     need = each.join(several, "gram").select("gram", "distinct", "one.*")
     # One document's contexts: as many as its own length allows.
-    wanted = need.groupBy("doc_id", "sum").agg(F.collect_list(F.struct("gram", "distinct", "low", "size")).alias("wanted"))
-    held = _same(docs.select("doc_id", "text", "sum"), wanted, "inner").select("doc_id", "sum", "text", "wanted")
+    wanted = common.written(need.groupBy("doc_id", "sum").agg(F.collect_list(F.struct("gram", "distinct", "low", "size")).alias("wanted")), "wanted")
+    # Only these documents' texts are shuffled, where their ids are few enough to be sent round.
+    asked = _same(docs.select("doc_id", "text", "sum"), common.small(wanted.select("doc_id", "sum")), "left_semi")
+    held = _same(asked, wanted, "inner").select("doc_id", "sum", "text", "wanted")
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen = None
@@ -281,7 +284,17 @@ def spans(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, hot_contexts:
     hot = cuts.where(F.col("distinct") > hot_contexts)
     if common.has_rows(hot):
         found = found.unionByName(_counted(hot, length))
-    return found.groupBy("doc_id", "sum").agg(F.collect_set(F.struct("start", "stop")).alias("found"))
+    return common.written(found.groupBy("doc_id", "sum").agg(F.collect_set(F.struct("start", "stop")).alias("found")), "spans")
+
+
+def _with_spans(docs: DataFrame, found: DataFrame) -> DataFrame:
+    """``docs`` (with doc_id and sum) and ``found``, null where a document has none."""
+    ids = found.select("doc_id", "sum")
+    if ids.count() > common.BROADCAST_ROWS:
+        return _same(docs, found, "left")
+    # Few documents have spans: the texts of all others stay where they are.
+    touched = _same(_same(docs, F.broadcast(ids), "left_semi"), found, "inner")
+    return touched.unionByName(_same(docs, F.broadcast(ids), "left_anti"), allowMissingColumns=True)
 
 
 def _merged(found: list[dict]) -> list[tuple[int, int]]:
@@ -328,7 +341,7 @@ def remove_repeats(docs: DataFrame, keep_text: bool = False, **options) -> DataF
             yield pa.RecordBatch.from_arrays([batch["doc_id"], *(pa.array(c, t) for c, t in zip(out, kinds))], names)
 
     schema = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string" + ", kept string" * keep_text
-    return _same(plain, found, "left").select("doc_id", "text", "found").mapInArrow(remove, schema)
+    return _with_spans(plain, found).select("doc_id", "text", "found").mapInArrow(remove, schema)
 
 
 def without_repeats(docs: DataFrame, **options) -> DataFrame:
@@ -338,7 +351,7 @@ def without_repeats(docs: DataFrame, **options) -> DataFrame:
     """
     found = spans(_prepared(docs), **options)
     keyed = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"), F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(F.coalesce(F.col("text").cast("string"), F.lit(""))).alias("sum"))
-    held = _same(keyed, found, "left").select("row.*", F.col("found").alias("repeats found"))
+    held = _with_spans(keyed, found).select("row.*", F.col("found").alias("repeats found"))
     place, shape = docs.columns.index("text"), docs.schema
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
