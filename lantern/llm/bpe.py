@@ -141,7 +141,7 @@ def encode(docs: DataFrame, path: str | None = None, id_col: str = "doc_id", tex
                 yield _batch(part["id"], out, keep_ids)
 
     long_rows = rows.where(F.length("text") > chunk_chars)
-    done = rows.where(F.length("text") <= chunk_chars).mapInArrow(short, schema)
+    done = rows.where(F.length("text") <= chunk_chars).transform(common.in_arrow, short, schema)
     return done.unionByName(_encode_long(long_rows, path, schema, keep_ids, chunk_chars, overlap)).withColumnRenamed("id", id_col)
 
 
@@ -178,7 +178,7 @@ def _encode_long(rows: DataFrame, path: str, schema: str, keep_ids: bool, size:
                 )
 
     kind = schema.split(",")[0]
-    marked = chunks.mapInArrow(boundaries, f"{kind}, sha string, copies long, chunk int, text string, head array<long>, tail array<long>")
+    marked = chunks.transform(common.in_arrow, boundaries, f"{kind}, sha string, copies long, chunk int, text string, head array<long>, tail array<long>")
 
     def assembled(key: tuple[pa.Scalar, ...], chunk_table: pa.Table) -> pa.Table:
         # One document's chunks: as large as the document, which one row holds anyway.
@@ -219,7 +219,7 @@ def decode(encoded: DataFrame, path: str | None = None, id_col: str = "doc_id")
             yield pa.RecordBatch.from_arrays([batch["id"], pa.array(raw, pa.binary())], ["id", "raw"])
 
     kind = encoded.schema[id_col].dataType.simpleString()
-    return encoded.select(F.col(id_col).alias("id"), "ids").mapInArrow(back, f"id {kind}, raw binary").withColumnRenamed("id", id_col)
+    return encoded.select(F.col(id_col).alias("id"), "ids").transform(common.in_arrow, back, f"id {kind}, raw binary").withColumnRenamed("id", id_col)
 
 
 def op5_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:

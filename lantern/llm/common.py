@@ -5,6 +5,7 @@ from __future__ import annotations
 import os
 import tempfile
 import uuid
+from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -69,3 +70,37 @@ def tokenizer_path(name: str) -> str:
 def small(keys: DataFrame) -> DataFrame:
     """``keys`` (a written table) to join with: broadcast only if its rows, counted, are few."""
     return F.broadcast(keys) if keys.count() <= BROADCAST_ROWS else keys
+
+
+BATCH_ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch"
+
+
+def in_arrow(df: DataFrame, f: Callable, schema) -> DataFrame:
+    """``mapInArrow`` for rows that may hold long texts.
+
+    Spark's 10,000 rows make batches of tens of megabytes, on both sides of the
+    pipe and in both directions, so a session that has that default gets 1,000.
+    What a task freed goes back to the system when it ends, since workers live on.
+    """
+    conf = df.sparkSession.conf
+    if conf.get(BATCH_ROWS) == "10000":
+        conf.set(BATCH_ROWS, "1000")
+
+    def tidy(batches):
+        try:
+            yield from f(batches)
+        finally:
+            _give_back()
+
+    return df.mapInArrow(tidy, schema)
+
+
+def _give_back() -> None:
+    import ctypes
+
+    import pyarrow as pa
+
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # glibc has it
+    if trim is not None:
+        trim(0)

@@ -111,7 +111,7 @@ def fit(labelled: DataFrame, sample: int = SAMPLE, centroids: int = CENTROIDS, d
                 )
 
     kind = rows.schema["doc_id"].dataType.simpleString()
-    got = rows.mapInArrow(sparse, f"doc_id {kind}, lang string, place binary, tf binary").collect()
+    got = rows.transform(common.in_arrow, sparse, f"doc_id {kind}, lang string, place binary, tf binary").collect()
     got.sort(key=lambda r: (r.lang, str(r.doc_id), bytes(r.place), bytes(r.tf)))
     tf = np.zeros((len(got), dimensions), np.float32)
     for k, r in enumerate(got):
@@ -160,7 +160,7 @@ def identified(docs: DataFrame, model: dict) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([*part.columns, *more], [*part.schema.names, "lang_pred", "score", "rejected"])
 
     shape = T.StructType([*kept.schema.fields, T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType()), T.StructField("rejected", T.BooleanType())])
-    return kept.mapInArrow(run, shape)
+    return kept.transform(common.in_arrow, run, shape)
 
 
 def learnable(docs: DataFrame) -> DataFrame:

@@ -67,7 +67,7 @@ def stored(docs: DataFrame) -> DataFrame:
                     sizes = [len((t or "").encode()) for t in texts[a:b]]
                     yield pa.RecordBatch.from_arrays([part["doc_id"].slice(a, b - a), pa.array(sizes, pa.int64()), pa.array(flac.encode(whole[a:b]), pa.binary())], ["doc_id", "n_bytes", "media"])
 
-    return _plain(docs).mapInArrow(run, "doc_id long, n_bytes long, media binary")
+    return _plain(docs).transform(common.in_arrow, run, "doc_id long, n_bytes long, media binary")
 
 
 def _each(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.RecordBatch, list[bytes], list[np.ndarray]]]:
@@ -91,7 +91,7 @@ def pcm_blocks(media: DataFrame) -> DataFrame:
                     raw = [x[j * flac.BLOCK : (j + 1) * flac.BLOCK].tobytes() for j in block]
                     yield pa.RecordBatch.from_arrays([part["doc_id"].take(pa.array([k] * len(block))), pa.array(block), pa.array(block * flac.BLOCK), pa.array(raw, pa.binary())], ["doc_id", "block", "sample_offset", "pcm"])
 
-    return media.select("doc_id", "media").mapInArrow(run, "doc_id long, block long, sample_offset long, pcm binary")
+    return media.select("doc_id", "media").transform(common.in_arrow, run, "doc_id long, block long, sample_offset long, pcm binary")
 
 
 def digests(media: DataFrame) -> DataFrame:
@@ -111,7 +111,7 @@ def digests(media: DataFrame) -> DataFrame:
             ]
             yield pa.RecordBatch.from_arrays([part["doc_id"], part["n_bytes"], *columns], names)
 
-    return media.select("doc_id", "n_bytes", "media").mapInArrow(run, "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string")
+    return media.select("doc_id", "n_bytes", "media").transform(common.in_arrow, run, "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string")
 
 
 def op6_flac(spark: SparkSession, sf_dir: str) -> DataFrame:

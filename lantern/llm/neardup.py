@@ -78,7 +78,7 @@ def signatures(docs: DataFrame, bands: int, rows: int) -> DataFrame:
                     ["doc_id", "sum", "n_shingles", "high", "low", "keys", "bits"],
                 )
 
-    return docs.mapInArrow(sign, "doc_id long, sum long, n_shingles long, high long, low long, keys array<long>, bits array<long>")
+    return docs.transform(common.in_arrow, sign, "doc_id long, sum long, n_shingles long, high long, low long, keys array<long>, bits array<long>")
 
 
 def confirmed(pairs: DataFrame, texts: DataFrame, percent: int) -> DataFrame:
@@ -112,7 +112,7 @@ def confirmed(pairs: DataFrame, texts: DataFrame, percent: int) -> DataFrame:
                         b.append(r["b"])
             yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
 
-    return both.select("a", "b", "text_a", "text_b").mapInArrow(compare, "a long, b long")
+    return both.select("a", "b", "text_a", "text_b").transform(common.in_arrow, compare, "a long, b long")
 
 
 def near_duplicates(docs: DataFrame, bands: int = BANDS, rows: int = ROWS, percent: int = THRESHOLD_PERCENT) -> DataFrame:

@@ -64,7 +64,7 @@ def pieces(docs: DataFrame, path: str | None = None, max_tokens: int = MAX_TOKEN
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(out, kinds)], names)
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
-    return rows.mapInArrow(cut, PIECES + ", ids binary" * keep_ids)
+    return rows.transform(common.in_arrow, cut, PIECES + ", ids binary" * keep_ids)
 
 
 class Packer:
@@ -126,7 +126,7 @@ def pack(parts: DataFrame, max_tokens: int = MAX_TOKENS, open_bins: int = OPEN_B
     # A range by the task's number keeps each number in one partition of its own.
     ordered = dealt.repartitionByRange(tasks, "task") if tasks > 1 else dealt.repartition(1)
     ordered = ordered.sortWithinPartitions("task", F.desc("length"), "doc_id", "piece", "start", "ids_crc32")
-    return ordered.mapInArrow(fill, f"{shape}, sequence_id long, offset long")
+    return ordered.transform(common.in_arrow, fill, f"{shape}, sequence_id long, offset long")
 
 
 def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -75,7 +75,7 @@ def fit(docs: DataFrame, labels: DataFrame, most: int = SAMPLE) -> dict:
                 part = batch.slice(at, 256)
                 yield pa.RecordBatch.from_arrays([part["label"], pa.array([shape(t) for t in part["text"].to_pylist()], pa.list_(pa.float64()))], ["label", "x"])
 
-    got = sorted((r.label, tuple(r.x)) for r in rows.select("text", "label").mapInArrow(run, "label int, x array<double>").collect())
+    got = sorted((r.label, tuple(r.x)) for r in rows.select("text", "label").transform(common.in_arrow, run, "label int, x array<double>").collect())
     y = np.array([r[0] for r in got], float)
     if not 0 < y.sum() < len(y):
         return {"weights": [0.0] * (2 * len(FEATURES)), "base": 0.0}
@@ -97,7 +97,7 @@ def evidence(docs: DataFrame, model: dict, host: F.Column, path: F.Column) -> Da
                 yield pa.RecordBatch.from_arrays([part["doc_id"], part["host"], part["path"], pa.array(z)], ["doc_id", "host", "path", "logit"])
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), F.coalesce(host.cast("string"), F.lit("")).alias("host"), F.coalesce(path.cast("string"), F.lit("")).alias("path"))
-    return rows.mapInArrow(run, "doc_id long, host string, path string, logit double")
+    return rows.transform(common.in_arrow, run, "doc_id long, host string, path string, logit double")
 
 
 def _pseudo_count(sites: DataFrame, mean: str) -> float:

@@ -118,7 +118,7 @@ class Bloom:
             yield pa.RecordBatch.from_arrays([pa.array(used, pa.int64()), pa.array(mine[used].view(np.int64), pa.int64())], ["at", "bits"])
 
         # At most bits / 64 rows, whatever the input.
-        rows = keys.mapInArrow(spread, "at long, bits long").groupBy("at").agg(F.bit_or("bits").alias("bits")).toPandas()
+        rows = keys.transform(common.in_arrow, spread, "at long, bits long").groupBy("at").agg(F.bit_or("bits").alias("bits")).toPandas()
         empty.words[rows["at"].to_numpy()] = rows["bits"].to_numpy(np.int64).view(np.uint64)
         return empty
 
@@ -137,7 +137,7 @@ def _gram_counts(docs: DataFrame, length: int, gram: int) -> DataFrame:
                 each, counts = np.unique(np.concatenate(found), return_counts=True)
                 yield pa.RecordBatch.from_arrays([pa.array(each), pa.array(counts, pa.int64())], ["gram", "n"])
 
-    return docs.select("text").mapInArrow(grams, "gram long, n long").groupBy("gram").agg(F.sum("n").alias("n")).where("n > 1").select("gram")
+    return docs.select("text").transform(common.in_arrow, grams, "gram long, n long").groupBy("gram").agg(F.sum("n").alias("n")).where("n > 1").select("gram")
 
 
 def _contexts(docs: DataFrame, bloom: Bloom, length: int, gram: int) -> DataFrame:
@@ -163,7 +163,7 @@ def _contexts(docs: DataFrame, bloom: Bloom, length: int, gram: int) -> DataFram
                     ["gram", "context", "doc_id", "sum", "low", "size"],
                 )
 
-    return docs.mapInArrow(found, "gram long, context long, doc_id long, sum long, low long, size int")
+    return docs.transform(common.in_arrow, found, "gram long, context long, doc_id long, sum long, low long, size int")
 
 
 def _spools(batches: Iterator[pa.RecordBatch], budget: induction.Budget):
@@ -214,7 +214,7 @@ def _sorted_out(rows: DataFrame, length: int, budget_args: tuple) -> DataFrame:
             pick = pa.array(row[s])
             yield pa.RecordBatch.from_arrays([ids.take(pick), sums.take(pick), pa.array(base[s] + first[s]), pa.array(base[s] + past[s] - 1 + length)], ["doc_id", "sum", "start", "stop"])
 
-    return rows.mapInArrow(order, "doc_id long, sum long, start long, stop long")
+    return rows.transform(common.in_arrow, order, "doc_id long, sum long, start long, stop long")
 
 
 def _counted(rows: DataFrame, length: int) -> DataFrame:
@@ -232,7 +232,7 @@ def _counted(rows: DataFrame, length: int) -> DataFrame:
                 start = batch["low"][k].as_py() + np.arange(n)
                 yield pa.RecordBatch.from_arrays([pa.array(a.view(np.int64)), pa.array(b.view(np.int64)), batch["doc_id"].take(pick), batch["sum"].take(pick), pa.array(start)], ["h1", "h2", "doc_id", "sum", "start"])
 
-    each = common.written(rows.mapInArrow(windows, "h1 long, h2 long, doc_id long, sum long, start long"), "windows")
+    each = common.written(rows.transform(common.in_arrow, windows, "h1 long, h2 long, doc_id long, sum long, start long"), "windows")
     twice = each.groupBy("h1", "h2").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("h1", "h2")
     return each.join(twice, ["h1", "h2"]).select("doc_id", "sum", "start", (F.col("start") + length).alias("stop"))
 
@@ -277,7 +277,7 @@ def spans(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, hot_contexts:
                     ["doc_id", "sum", "gram", "distinct", "low", "size", "raw"],
                 )
 
-    cuts = common.written(held.mapInArrow(cut, "doc_id long, sum long, gram long, distinct long, low long, size int, raw binary"), "cuts")
+    cuts = common.written(held.transform(common.in_arrow, cut, "doc_id long, sum long, gram long, distinct long, low long, size int, raw binary"), "cuts")
     parts = docs.sparkSession.conf.get("spark.sql.shuffle.partitions")
     usual = _sorted_out(cuts.where(F.col("distinct") <= hot_contexts).repartition(int(parts), "gram"), length, budget)
     found = copied.unionByName(usual)
@@ -341,7 +341,7 @@ def remove_repeats(docs: DataFrame, keep_text: bool = False, **options) -> DataF
             yield pa.RecordBatch.from_arrays([batch["doc_id"], *(pa.array(c, t) for c, t in zip(out, kinds))], names)
 
     schema = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string" + ", kept string" * keep_text
-    return _with_spans(plain, found).select("doc_id", "text", "found").mapInArrow(remove, schema)
+    return _with_spans(plain, found).select("doc_id", "text", "found").transform(common.in_arrow, remove, schema)
 
 
 def without_repeats(docs: DataFrame, **options) -> DataFrame:
@@ -369,7 +369,7 @@ def without_repeats(docs: DataFrame, **options) -> DataFrame:
             columns[place] = pa.array(texts, pa.string())
             yield pa.RecordBatch.from_arrays(columns, batch.schema.names[:-1])
 
-    return held.mapInArrow(cut, shape)
+    return held.transform(common.in_arrow, cut, shape)
 
 
 def op8_suffix(spark: SparkSession, sf_dir: str) -> DataFrame:

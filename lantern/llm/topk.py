@@ -73,7 +73,7 @@ def _blocks(rows: DataFrame, groups: int) -> DataFrame:
         for dim in list(held):
             yield out(dim)
 
-    return rows.mapInArrow(pack, "dim int, cgroup int, ids binary, vals binary")
+    return rows.transform(common.in_arrow, pack, "dim int, cgroup int, ids binary, vals binary")
 
 
 def _scores(row: dict) -> tuple[np.ndarray, list[dict], np.ndarray]:
@@ -155,7 +155,7 @@ def top_k(queries: DataFrame, candidates: DataFrame, k: int = K) -> DataFrame:
     width = max(1, -(-2 * bound // BINS))
     by_query = Window.partitionBy("query_id").orderBy(F.desc("bin")).rowsBetween(Window.unboundedPreceding, 0)
     while True:
-        counts = meet(state).mapInArrow(_histogram(BINS), "query_id long, bin long, n long").groupBy("query_id", "bin").agg(F.sum("n").alias("n"))
+        counts = meet(state).transform(common.in_arrow, _histogram(BINS), "query_id long, bin long, n long").groupBy("query_id", "bin").agg(F.sum("n").alias("n"))
         reached = counts.withColumn("sum", F.sum("n").over(by_query)).join(state, "query_id").where("sum >= need and sum - n < need")
         step = max(1, -(-width // BINS))
         found = reached.select("query_id", F.expr("low + bin * width").alias("at"), F.expr("int(need - (sum - n))").alias("left"))
@@ -167,7 +167,7 @@ def top_k(queries: DataFrame, candidates: DataFrame, k: int = K) -> DataFrame:
         if width == 1:
             break
         width = step
-    kept = meet(state).mapInArrow(_keepers(k), "query_id long, vec_id long, score long")
+    kept = meet(state).transform(common.in_arrow, _keepers(k), "query_id long, vec_id long, score long")
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     return kept.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 

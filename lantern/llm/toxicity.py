@@ -139,7 +139,7 @@ def mined(rows: DataFrame, voters: int) -> list[str]:
     n1, n0 = (rows.where(F.col("label") == v).count() for v in (1, 0))
     if not n1 or not n0:
         return []
-    counts = rows.select("text", "label").mapInArrow(each, "pattern string, toxic long, other long").groupBy("pattern").agg(F.sum("toxic").alias("toxic"), F.sum("other").alias("other"))
+    counts = rows.select("text", "label").transform(common.in_arrow, each, "pattern string, toxic long, other long").groupBy("pattern").agg(F.sum("toxic").alias("toxic"), F.sum("other").alias("other"))
     odds = F.log((F.col("toxic") + 0.5) / (n1 + 1)) - F.log((F.col("other") + 0.5) / (n0 + 1))
     top = counts.where((F.col("toxic") >= max(3, LEAST_RATE * n1)) & (F.col("other") <= MOST_SLIPS * n0)).withColumn("odds", odds).where(F.col("odds") >= LEAST_ODDS)
     # Those that cover most toxic texts at the best odds come first.
@@ -158,7 +158,7 @@ def fit(docs: DataFrame, labels: DataFrame, most: int = SAMPLE, voters: int = VO
                 yield pa.RecordBatch.from_arrays([part["doc_id"].cast(pa.string()), part["label"], pa.array([spot(t) for t in part["text"].to_pylist()], pa.list_(pa.int32()))], ["key", "label", "votes"])
 
     # At most twice ``most`` rows of at most ``voters`` numbers.
-    got = rows.mapInArrow(vote, "key string, label int, votes array<int>").collect()
+    got = rows.transform(common.in_arrow, vote, "key string, label int, votes array<int>").collect()
     got.sort(key=lambda r: (r.key, r.label, r.votes))
     x = np.zeros((len(got), len(patterns)))
     for k, r in enumerate(got):
@@ -195,7 +195,7 @@ def scored(docs: DataFrame, model: dict) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([part["doc_id"], pa.array(1 / (1 + np.exp(-z.clip(-30, 30))))], ["doc_id", "score"])
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    return rows.mapInArrow(run, "doc_id long, score double")
+    return rows.transform(common.in_arrow, run, "doc_id long, score double")
 
 
 def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
