@@ -44,7 +44,7 @@ def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token pieces, each with its place in a sequence."""
-    return packing.pack(common.written(packing.pieces(docs), "pieces"))
+    return packing.pack(common.written(packing.pieces(docs, encode_special_tokens=False), "pieces"))
 
 
 STAGES = [

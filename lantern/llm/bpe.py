@@ -52,6 +52,17 @@ def read_ranks(path: str) -> dict[bytes, int]:
         return {base64.b64decode(a): int(b) for a, b in (line.split() for line in f if line.strip())}
 
 
+def read_added(path: str) -> list[dict]:
+    """The added tokens of a tokenizer's JSON file; a rank file has none."""
+    if not path.endswith(".json"):
+        return []
+    with open(path, encoding="utf-8") as f:
+        added = json.load(f).get("added_tokens", [])
+    if any(t[flag] for t in added for flag in ("single_word", "lstrip", "rstrip", "normalized")):
+        raise ValueError("added tokens that match other than literally are not read")
+    return added
+
+
 def _byte_alphabet() -> dict[int, str]:
     """Printable stand-ins of the 256 bytes in byte-level vocabularies."""
     plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
@@ -73,7 +84,10 @@ class Codec:
         import tiktoken
 
         self.ranks = read_ranks(path)
-        self.engine = tiktoken.Encoding("lantern", pat_str=pattern(), mergeable_ranks=self.ranks, special_tokens={})
+        self.added = {t["content"]: t["id"] for t in read_added(path)}
+        self.engine = tiktoken.Encoding("lantern", pat_str=pattern(), mergeable_ranks=self.ranks, special_tokens=self.added)
+        # The longest of those that begin at one place, as in the tokenizers library.
+        self.literals = regex.compile("|".join(map(regex.escape, sorted(self.added, key=len, reverse=True)))) if self.added else None
         self.splitter = regex.compile(pattern())
 
     @classmethod
@@ -96,6 +110,19 @@ class Codec:
                 found.extend(self.engine._encode_single_piece(m.group(0).encode()))
             return np.array(found, "<u4")
 
+    def ids_with_added(self, text: str):
+        """As :meth:`ids`, but an added token's literal is its id, and the texts between are encoded each on its own."""
+        import numpy as np
+
+        found = list(self.literals.finditer(text)) if self.literals and text else []
+        if not found:
+            return self.ids(text)
+        parts, at = [], 0
+        for m in found:
+            parts += [self.ids(text[at : m.start()]), np.array([self.added[m.group()]], "<u4")]
+            at = m.end()
+        return np.concatenate([*parts, self.ids(text[at:])])
+
     def decode(self, ids) -> bytes:
         return self.engine.decode_bytes(ids.tolist())
 

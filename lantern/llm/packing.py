@@ -35,10 +35,13 @@ SLICE_TEXTS = 256
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 
 
-def pieces(docs: DataFrame, path: str | None = None, max_tokens: int = MAX_TOKENS, keep_ids: bool = False) -> DataFrame:
+def pieces(docs: DataFrame, path: str | None = None, max_tokens: int = MAX_TOKENS, keep_ids: bool = False, encode_special_tokens: bool = True) -> DataFrame:
     """Token pieces of every document; only longer documents are cut.
 
     The first piece of a cut document takes the remainder, the others are full.
+    ``encode_special_tokens`` is the tokenizers library's property of that name:
+    where it is false (the library's default), the literal of an added token of
+    the JSON file becomes that token's id, otherwise it is text like any other.
     """
     path = path or common.tokenizer_path("byte_bpe_50k.json")
     names = ["doc_id", "piece", "start", "length", "ids_crc32"] + ["ids"] * keep_ids
@@ -47,12 +50,13 @@ def pieces(docs: DataFrame, path: str | None = None, max_tokens: int = MAX_TOKEN
         import numpy as np
 
         codec, end = Codec.at(path), np.array([END_ID], "<u4")
+        encoded = codec.ids if encode_special_tokens else codec.ids_with_added
         for batch in batches:
             for at in range(0, batch.num_rows, SLICE_TEXTS):
                 part = batch.slice(at, SLICE_TEXTS)
                 out: list[list] = [[] for _ in names]
                 for doc_id, text in zip(part["doc_id"].to_pylist(), part["text"].to_pylist()):
-                    ids = np.concatenate((codec.ids(text), end))
+                    ids = np.concatenate((encoded(text), end))
                     start, k = 0, 0
                     while start < len(ids):
                         stop = min(start + ((len(ids) - start) % max_tokens or max_tokens), len(ids))
@@ -130,4 +134,4 @@ def pack(parts: DataFrame, max_tokens: int = MAX_TOKENS, open_bins: int = OPEN_B
 
 
 def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return pack(common.written(pieces(common.table(spark, sf_dir, "documents")), "pieces"))
+    return pack(common.written(pieces(common.table(spark, sf_dir, "documents"), encode_special_tokens=False), "pieces"))
