@@ -7,10 +7,13 @@ neighbourhood jointly.  It adds what the patterns miss: phones without a
 country code, written-out separators, and secrets such as keys and passwords.
 Base spans always stay; an added span never touches one.
 
-A text is cut into neighbourhoods around digits and ``@``: outside these no
-segment can be a candidate, so the dynamic program over the whole text falls
-apart into theirs and its result is that of the whole text.  Patterns are
-matched in linear time, however long a run of digits or letters is.
+A text is cut into neighbourhoods around digits, ``@`` and a written-out ``at``,
+as far as an address may go on from there: outside these no segment can be a
+candidate, so the dynamic program over the whole text falls apart into theirs
+and its result is that of the whole text.  One shape is left out on purpose: an
+address with a blank beside its ``@``, or a dot after it, which "meet @ home.
+Then" has too.  Patterns are matched in linear time, however long a run of
+digits or letters is.
 
 The CRF is trained here, by maximum likelihood with forward-backward on
 sentences from seeded templates (:func:`trained`), within a second or two.
@@ -25,9 +28,10 @@ import hashlib
 import math
 import random
 import re
-from bisect import bisect_left
+from bisect import bisect_left, bisect_right
 from collections.abc import Iterator
 from functools import lru_cache
+from heapq import merge
 from itertools import accumulate
 
 import numpy as np
@@ -100,12 +104,20 @@ def base_spans(text: str) -> list[tuple[str, int, int]]:
 # ---------------------------------------------------------------- the CRF
 
 _UNIT = re.compile(r"[^\W_]+|\s+|.", re.S)
-_HOT = re.compile(r"[0-9@]|[\[(]at[\])]")
+_HOT = re.compile(r"[0-9@]")
 _REST = re.compile(r"\S*")
+_WORD = re.compile(r"\S+")
+_AT = re.compile(r"\[at\]|\(at\)")
+#: What the pattern of an address takes in after a written-out ``at``.
+_DOMAIN_ON = re.compile(r"(?: ?[\w-]++(?: ?(?:\.|\[dot\]|\(dot\)) ?[\w-]++)*+)?")
+_BETWEEN = re.compile(r"[ ().\-]*")
 _CUE = re.compile(r"(?:password|passwd|pwd|token|secret|api[_-]?key|key|auth)\W{0,4}$", re.I)
 _CALL = re.compile(r"(?:tel|phone|call|fax|mobile|cell)\W{0,3}$", re.I)
 _TAIL = 32
+#: Characters after a segment that features see: as many as ' [dot] x' has.
+_AFTER = 8
 _ON = re.compile(r"[.\-/@_]\w")
+_DOT_ON = re.compile(r" ?(?:\[dot\]|\(dot\)) ?\w")
 _SECRET = re.compile(r"[A-Za-z0-9_\-]{12,}\Z")
 _PHONE_LIKE = re.compile(r"\+?\(?[0-9][0-9 ().\-]*[0-9]\Z")
 _MAIL_LIKE = re.compile(r"[\w.%+-]+ ?(?:@|\[at\]|\(at\)) ?[\w-]+(?: ?(?:\.|\[dot\]|\(dot\)) ?[\w-]+)+\Z")
@@ -138,7 +150,7 @@ def features(kind: str, span: str, before: str, after: str) -> list[str]:
     out = [kind, f"{kind} digits {len(digits)}" if kind in ("card", "phone") else f"{kind} size {min(len(span) // 8, 6)}"]
     if before and before[-1].isalnum() or after and after[0].isalnum():
         out.append(f"{kind} inside a word")
-    if before and before[-1] in "+.-@_/" or _ON.match(after):
+    if before and before[-1] in "+.-@_/" or _ON.match(after) or kind == "email" and _DOT_ON.match(after):
         out.append(f"{kind} goes on")
     if kind == "card":
         out.append(f"card luhn {luhn(digits)}")
@@ -162,28 +174,45 @@ def features(kind: str, span: str, before: str, after: str) -> list[str]:
     return out
 
 
+def _words(text: str) -> Iterator[tuple[int, int]]:
+    """Words with a digit or ``@``."""
+    m, end = _HOT.search(text), 0
+    while m:
+        a, b = m.start(), _REST.match(text, m.end()).end()
+        while a > end and not text[a - 1].isspace():
+            a -= 1
+        yield a, b
+        end = b
+        m = _HOT.search(text, b)
+
+
+def _addresses(text: str) -> Iterator[tuple[int, int]]:
+    """Whole words around a written-out ``at``: the one before, and all that its domain may take in."""
+    m = _AT.search(text)
+    words = [w.span() for w in _WORD.finditer(text)] if m else []
+    starts = [a for a, _ in words]
+    while m:
+        first = m.start() - (m.start() > 0 and text[m.start() - 1] == " ")
+        last = _DOMAIN_ON.match(text, m.end()).end() - 1
+        # A place in blanks belongs to the word before them.
+        a, b = words[max(bisect_right(starts, max(first - 1, 0)) - 1, 0)], words[bisect_right(starts, last) - 1]
+        yield min(a[0], m.start()), b[1]
+        m = _AT.search(text, m.end())
+
+
 def neighbourhoods(text: str) -> Iterator[tuple[int, int]]:
     """Ranges that hold every possible segment, in order, not touching.
 
-    Words with a digit or ``@``, joined where they stand close, and the words
-    around a written-out ``at``.
+    Words with a digit or ``@`` and the words around a written-out ``at``, where they stand close or only signs of a phone number lie between.
     """
     start = end = -1
-    m = _HOT.search(text)
-    while m:
-        a, b = m.start(), _REST.match(text, m.end()).end()
-        if text[a] in "[(":
-            a, b = max(a - 1, 0), _REST.match(text, min(b + 1, len(text))).end()
-            b = max(b, min(b + 24, len(text)))
-        while a > max(end, 0) and not text[a - 1].isspace():
-            a -= 1
-        if start >= 0 and a <= end + 8:
-            end = max(end, b)
+    for a, b in merge(_words(text), _addresses(text)):
+        if start >= 0 and (a <= end + 8 or _BETWEEN.fullmatch(text, end, a)):
+            start, end = min(start, a), max(end, b)
         else:
             if start >= 0:
                 yield start, end
             start, end = a, b
-        m = _HOT.search(text, b)
     if start >= 0:
         yield start, end
 
@@ -215,7 +244,7 @@ def candidates(text: str, low: int, high: int) -> tuple[list[int], list[tuple[in
 
 
 def _named(text: str, edges: list[int], found: list[tuple[int, int, str]]) -> list[list[str]]:
-    return [features(kind, text[edges[i] : edges[j]], text[max(0, edges[i] - _TAIL) : edges[i]], text[edges[j] : edges[j] + 2]) for i, j, kind in found]
+    return [features(kind, text[edges[i] : edges[j]], text[max(0, edges[i] - _TAIL) : edges[i]], text[edges[j] : edges[j] + _AFTER]) for i, j, kind in found]
 
 
 def best(n: int, found: list[tuple[int, int, str]], scores: list[float]) -> list[tuple[int, int, str]]:
