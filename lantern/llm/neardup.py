@@ -15,10 +15,10 @@
    connectivity is that of all candidate pairs, without emitting a group's pairs.
 
 Defined results: a null, empty or blank text has no shingles and links with
-nothing; a doc_id that repeats with several texts is grouped by one of
-them (that of the least hash), and each of its rows keeps a row, with its own
-count; null doc_ids get their row and no link; other columns are
-ignored.
+nothing; a doc_id that repeats with several texts has the links of all of them,
+and each of its rows keeps a row, with its own count; null doc_ids get their row
+and no link; other columns are ignored.  Nodes are doc_ids, or where one repeats
+with several texts, (doc_id, hash of the text), joined among one doc_id.
 """
 
 from __future__ import annotations
@@ -85,8 +85,8 @@ def confirmed(pairs: DataFrame, texts: DataFrame, percent: int) -> DataFrame:
     """The pairs (a, b) whose full shingle sets reach the threshold."""
     # Each b is in few pairs, so the first join is even. In the second, a pivot of very many pairs makes a
     # partition of many texts, whose size Spark sees and splits.
-    right = pairs.join(texts.select(F.col("doc_id").alias("b"), F.col("text").alias("text_b")), "b")
-    both = right.join(texts.select(F.col("doc_id").alias("a"), F.col("text").alias("text_a")), "a")
+    right = pairs.join(texts.select(F.col("node").alias("b"), F.col("text").alias("text_b")), "b")
+    both = right.join(texts.select(F.col("node").alias("a"), F.col("text").alias("text_a")), "a")
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         last: dict[int, tuple[str, np.ndarray]] = {}
@@ -110,9 +110,10 @@ def confirmed(pairs: DataFrame, texts: DataFrame, percent: int) -> DataFrame:
                     if 100 * shared >= percent * (len(x) + len(y) - shared):
                         a.append(r["a"])
                         b.append(r["b"])
-            yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
+            kind = batch.schema.field("a").type
+            yield pa.RecordBatch.from_arrays([pa.array(a, kind), pa.array(b, kind)], ["a", "b"])
 
-    return both.select("a", "b", "text_a", "text_b").transform(common.in_arrow, compare, "a long, b long")
+    return both.select("a", "b", "text_a", "text_b").transform(common.in_arrow, compare, pairs.select("a", "b").schema)
 
 
 def near_duplicates(docs: DataFrame, bands: int = BANDS, rows: int = ROWS, percent: int = THRESHOLD_PERCENT) -> DataFrame:
@@ -121,12 +122,13 @@ def near_duplicates(docs: DataFrame, bands: int = BANDS, rows: int = ROWS, perce
     plain = plain.withColumn("sum", F.xxhash64("text"))
     signed = common.written(signatures(plain, bands, rows), "signed")
     own = signed.where("n_shingles > 0 and doc_id is not null")
-    several = own.groupBy("doc_id").agg(F.min("sum").alias("least"), F.max("sum").alias("most")).where("least < most").select("doc_id", "least")
-    if common.has_rows(several):
-        own = own.join(several, "doc_id", "left").where("least is null or sum = least").drop("least")
+    several = own.groupBy("doc_id").agg(F.min("sum").alias("least"), F.max("sum").alias("most")).where("least < most").select("doc_id")
+    repeating = common.has_rows(several)
+    node = F.struct("doc_id", "sum") if repeating else F.col("doc_id")
+    own = own.withColumn("node", node)
     # A class's representative; equal word sequences have equal sets, so any row's keys do.
     classes = common.written(
-        own.groupBy("high", "low").agg(F.min("doc_id").alias("rep"), F.first("n_shingles").alias("n"), F.first("keys").alias("keys"), F.first("bits").alias("bits")),
+        own.groupBy("high", "low").agg(F.min("node").alias("rep"), F.first("n_shingles").alias("n"), F.first("keys").alias("keys"), F.first("bits").alias("bits")),
         "classes",
     )
     banded = classes.select("rep", "n", "bits", F.explode("keys").alias("key"))
@@ -140,10 +142,17 @@ def near_duplicates(docs: DataFrame, bands: int = BANDS, rows: int = ROWS, perce
     star = members.where("rep <> pivot").dropDuplicates(["rep", "pivot"]).select("rep", "n", "bits", "pivot").join(pivots, "pivot").where(near)
     tried = common.written(star.select(F.col("pivot").alias("a"), F.col("rep").alias("b")), "tried")
     # Only texts in shared buckets are ever compared; one written copy serves both rounds.
-    chosen = common.small(common.written(members.select(F.col("rep").alias("doc_id")).distinct(), "chosen"))
-    one = plain.where(F.col("text").rlike(r"[^ \t\n\x0B\f\r]")).join(chosen, "doc_id", "left_semi").groupBy("doc_id").agg(F.min_by("text", "sum").alias("text"))
+    chosen = common.small(common.written(members.select(F.col("rep").alias("node")).distinct(), "chosen"))
+    filled = plain.where(F.col("text").rlike(r"[^ \t\n\x0B\f\r]")).withColumn("node", node)
+    one = filled.join(chosen, "node", "left_semi").groupBy("node").agg(F.min_by("text", "sum").alias("text"))
     texts = common.written(one, "texts")
-    links = common.written(confirmed(tried, texts, percent), "links")
+    nodes = own.select("doc_id", "high", "low").distinct().join(classes.select("high", "low", "rep"), ["high", "low"])
+    links = confirmed(tried, texts, percent)
+    if repeating:
+        of_several = nodes.join(several, "doc_id", "left_semi")
+        least = of_several.groupBy("doc_id").agg(F.min("rep").alias("b"))
+        links = links.unionByName(of_several.select("doc_id", F.col("rep").alias("a")).join(least, "doc_id").where("a <> b").select("a", "b"))
+    links = common.written(links, "links")
     first = connected(links)
 
     placed = members.join(first.select(F.col("node").alias("rep"), "component"), "rep", "left").withColumn("component", F.coalesce("component", "rep"))
@@ -158,8 +167,9 @@ def near_duplicates(docs: DataFrame, bands: int = BANDS, rows: int = ROWS, perce
         if common.has_rows(more):
             first = connected(links.unionByName(more))
 
-    nodes = own.select("doc_id", "high", "low").distinct().join(classes.select("high", "low", "rep"), ["high", "low"])
     found = nodes.join(first.withColumnRenamed("node", "rep"), "rep", "left").select("doc_id", F.coalesce("component", "rep").alias("c"))
+    if repeating:
+        found = found.select("doc_id", F.col("c.doc_id").alias("c")).distinct()
     return (
         signed.join(found, "doc_id", "left")
         .select("doc_id", "n_shingles", F.coalesce("c", "doc_id").alias("component_id"))
