@@ -43,8 +43,11 @@ def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Token pieces, each with its place in a sequence."""
-    return packing.pack(common.written(packing.pieces(docs, encode_special_tokens=False), "pieces"))
+    """Token pieces with their ids, each with its place in a sequence."""
+    parts = packing.pieces(docs, keep_ids=True, encode_special_tokens=False).withColumn("row", F.monotonically_increasing_id())
+    parts = common.written(parts, "pieces")
+    # Packing has few tasks, which see lengths only; the ids join their places in many.
+    return packing.pack(parts.drop("ids")).join(parts.select("row", "ids"), "row").drop("row")
 
 
 STAGES = [
