@@ -1,13 +1,16 @@
 """Bounded-space online best-fit packing of token sequences.
 
 Documents are tokenised where they are read and cut into pieces only where they
-exceed a sequence.  Pieces then go, longest first, through an online best-fit
-packer with a fixed number of open bins: a bitset keyed by free space finds the
-fullest bin that still fits in one machine operation, and when a new bin would
-exceed the bound, the fullest open one is closed.  Only piece lengths move
+exceed a sequence.  Pieces then arrive, in an order that their hashes mix, at
+an online best-fit packer with a fixed number of open bins: a bitset keyed by
+free space finds the fullest bin that still fits in one machine operation, and
+when a new bin would exceed the bound, the fullest open one is closed.  Arrivals
+wait in a window of as many pieces as bins may be open and go in longest first:
+a window can't open more bins than that, so its long pieces' bins are still open
+when its short ones come.  (Longest first over a whole task would open and close
+bins long before anything fits what they have left.)  Only piece lengths move
 between tasks, never texts; each packing task takes at most about
-``pieces_per_task`` pieces, so its memory and time don't grow with the corpus,
-and costs at most its open bins' leftovers in density.
+``pieces_per_task`` pieces, so its memory and time don't grow with the corpus.
 
 Defined results: a null text counts as empty and, as every document, still has
 its end token; documents that repeat a doc_id are packed each on their own, in
@@ -35,7 +38,7 @@ SLICE_TEXTS = 256
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 
 
-def pieces(docs: DataFrame, path: str | None = None, max_tokens: int = MAX_TOKENS, keep_ids: bool = False, encode_special_tokens: bool = True) -> DataFrame:
+def pieces(docs: DataFrame, path: str | None = None, max_tokens: int = MAX_TOKENS, keep_ids: bool = False, encode_special_tokens: bool = False) -> DataFrame:
     """Token pieces of every document; only longer documents are cut.
 
     The first piece of a cut document takes the remainder, the others are full.
@@ -99,6 +102,13 @@ class Packer:
             self.open += 1
         return number, self.capacity - room
 
+    def place_all(self, lengths: list[int]) -> list[tuple[int, int]]:
+        """Places of a window's pieces, which go in longest first."""
+        out: list[tuple[int, int]] = [(0, 0)] * len(lengths)
+        for k in sorted(range(len(lengths)), key=lambda k: -lengths[k]):
+            out[k] = self.place(lengths[k])
+        return out
+
     def _take(self, room: int) -> int:
         held = self.bins[room]
         number = held.pop()
@@ -108,6 +118,20 @@ class Packer:
         return number
 
 
+def _windows(batches: Iterator[pa.RecordBatch], size: int) -> Iterator[pa.RecordBatch]:
+    """The rows in windows of ``size``, however they are batched."""
+    held, rows = [], 0
+    for batch in batches:
+        held.append(batch)
+        rows += batch.num_rows
+        while rows >= size:
+            table = pa.Table.from_batches(held)
+            yield table.slice(0, size).combine_chunks().to_batches()[0]
+            held, rows = table.slice(size).to_batches(), rows - size
+    if rows:
+        yield pa.Table.from_batches(held).combine_chunks().to_batches()[0]
+
+
 def pack(parts: DataFrame, max_tokens: int = MAX_TOKENS, open_bins: int = OPEN_BINS, pieces_per_task: int = PIECES_PER_TASK) -> DataFrame:
     """Adds sequence_id and offset to a stored table of pieces."""
     tasks = max(1, -(-parts.count() // pieces_per_task))
@@ -115,23 +139,21 @@ def pack(parts: DataFrame, max_tokens: int = MAX_TOKENS, open_bins: int = OPEN_B
 
     def fill(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         packer, task = Packer(max_tokens, open_bins), None
-        for batch in batches:
-            if batch.num_rows == 0:
-                continue
-            task = batch["task"][0].as_py() if task is None else task
-            placed = [packer.place(n) for n in batch["length"].to_pylist()]
-            columns = [batch[c] for c in fields]
+        for window in _windows(batches, open_bins):
+            task = window["task"][0].as_py() if task is None else task
+            placed = packer.place_all(window["length"].to_pylist())
+            columns = [window[c] for c in fields]
             columns += [pa.array([(task << 40) + b for b, _ in placed], pa.int64()), pa.array([o for _, o in placed], pa.int64())]
             yield pa.RecordBatch.from_arrays(columns, [*fields, "sequence_id", "offset"])
 
     shape = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in parts.schema.fields)
-    # Neighbouring lengths are dealt round: every task sees the same mix.
+    # Dealt and ordered by two hashes: every task, and every window of one, sees the same mix.
     dealt = parts.withColumn("task", F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32"), F.lit(tasks)).cast("long"))
     # A range by the task's number keeps each number in one partition of its own.
     ordered = dealt.repartitionByRange(tasks, "task") if tasks > 1 else dealt.repartition(1)
-    ordered = ordered.sortWithinPartitions("task", F.desc("length"), "doc_id", "piece", "start", "ids_crc32")
+    ordered = ordered.sortWithinPartitions("task", F.xxhash64("ids_crc32", "doc_id", "piece"), "doc_id", "piece", "start", "ids_crc32")
     return ordered.transform(common.in_arrow, fill, f"{shape}, sequence_id long, offset long")
 
 
 def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return pack(common.written(pieces(common.table(spark, sf_dir, "documents"), encode_special_tokens=False), "pieces"))
+    return pack(common.written(pieces(common.table(spark, sf_dir, "documents")), "pieces"))
