@@ -35,7 +35,8 @@ def connected(edges: DataFrame) -> DataFrame:
     tidy = edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
     now, seen = common.written(tidy, "edges"), None
     while True:
-        now = common.written(_small(_large(now)), "edges")
+        before, now = now, common.written(_small(_large(now)), "edges")
+        common.dropped(before)
         mark = now.agg(F.count(F.lit(1)), F.bit_xor(F.xxhash64("a", "b"))).first()
         if mark == seen:
             return now.select(F.col("a").alias("node"), F.col("b").alias("component"))

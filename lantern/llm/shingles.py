@@ -3,12 +3,15 @@
 from __future__ import annotations
 
 import numpy as np
+import xxhash
 
 BLANKS = b" \t\n\v\f\r"
 #: Lower-cases A-Z and turns every separator into a space.
 FOLD = bytes(32 if b in BLANKS else b + 32 if 65 <= b <= 90 else b for b in range(256))
 BASE = 0x9E3779B97F4A7C17
 _WIDE = 1 << 20
+#: Polynomials modulo 2^64 have collisions by construction from about a thousand bytes on; longer words take another hash.
+_LONG_WORD = 128
 
 _random = np.random.default_rng(20250117)
 _letters = _random.integers(1, 1 << 63, 256, dtype=np.uint64) | np.uint64(1)
@@ -58,7 +61,10 @@ def _segment(text: bytes) -> np.ndarray:
     up, down = _powers(len(b))
     sums = np.zeros(len(b) + 1, np.uint64)
     np.cumsum(_letters[b] * up[: len(b)], out=sums[1:])
-    return mix((sums[ends] - sums[starts]) * down[starts] + (ends - starts).astype(np.uint64))
+    found = mix((sums[ends] - sums[starts]) * down[starts] + (ends - starts).astype(np.uint64))
+    for k in np.flatnonzero(ends - starts > _LONG_WORD).tolist():
+        found[k] = xxhash.xxh3_64_intdigest(text[starts[k] : ends[k]], 1)
+    return found
 
 
 def shingle_set(words: np.ndarray) -> np.ndarray:
