@@ -43,12 +43,15 @@ class Analyzer:
     def first(self, text: str) -> str | None:
         return next(iter(self.analyze_to_terms(text)), None)
 
-    def column(self, c: Column) -> Column:
+    def words_column(self, c: Column) -> Column:
+        """Tokens before stemming."""
         tokens = self.tokenizer.column(F.coalesce(c, F.lit("")))
         for n in self.normalizers:
             tokens = n.column(tokens)
-        if self.stop_filter:
-            tokens = self.stop_filter.column(tokens)
+        return self.stop_filter.column(tokens) if self.stop_filter else tokens
+
+    def column(self, c: Column) -> Column:
+        tokens = self.words_column(c)
         if self.stemmer:
             tokens = retold(tokens, stem_arrays(F.transform(tokens, lambda t: t["text"])))
         return tokens

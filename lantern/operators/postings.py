@@ -1,13 +1,19 @@
 """The inverted index as tables.
 
 ``postings(field, term, doc_id, tf, positions, dl)``, ``terms(field, term, df,
-cf)`` and ``lengths(field, doc_id, dl)``.  A text field's documents are spread
-by doc_id once; grouping tokens by (doc_id, term) then needs no second shuffle,
-since all tokens of a document already lie in one partition.
+cf)`` and ``lengths(field, doc_id, dl)``.  A document is one row, so its tokens
+are grouped by term where the row lies: analysis runs once, nothing is shuffled,
+and one scan (:func:`analysed`) gives both postings and lengths.  Grouping is by
+Arrow kernels over whole batches; a stemmer sees each distinct word of a batch
+once.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -18,6 +24,8 @@ from lantern.sources.schema import Schema
 POSTINGS = "field string, term string, doc_id bigint, tf bigint, positions array<int>, dl int"
 TERMS = "field string, term string, df bigint, cf bigint"
 LENGTHS = "field string, doc_id bigint, dl int"
+#: Documents that are grouped at once.
+SLICE_ROWS = 1024
 
 
 def text_of(c: Column, kind: T.DataType) -> Column:
@@ -44,25 +52,45 @@ def keyword_values(docs: DataFrame, name: str) -> Column:
     return F.when(c.isNotNull(), F.array(text_of(c, kind)))
 
 
-def text_tokens(docs: DataFrame, schema: Schema, name: str) -> DataFrame:
-    """doc_id, tokens and dl of a text field; documents without it have no row."""
-    kind = docs.schema[name].dataType
-    rows = docs.where(F.col(f"`{name}`").isNotNull()).select("doc_id", text_of(F.col(f"`{name}`"), kind).alias("text")).repartition("doc_id")
-    tokens = schema.get(name).get_analyzer().column(F.col("text"))
-    return rows.select("doc_id", tokens.alias("tokens"))
-
-
-def _text_postings(docs: DataFrame, schema: Schema, name: str) -> DataFrame:
-    tokens = text_tokens(docs, schema, name).select("doc_id", F.size("tokens").alias("dl"), F.explode("tokens").alias("t"))
-    grouped = tokens.groupBy("doc_id", F.col("t.text").alias("term")).agg(F.count(F.lit(1)).alias("tf"), F.sort_array(F.collect_list("t.position")).alias("positions"), F.any_value("dl").alias("dl"))
-    return grouped.select(F.lit(name).alias("field"), "term", "doc_id", "tf", "positions", "dl")
-
-
-def _keyword_postings(docs: DataFrame, name: str) -> DataFrame:
+def _grouped(rows: DataFrame, field: str, stemmer=None) -> DataFrame:
+    """(doc_id, tokens, dl) rows as postings, and for each row one of its length, with a null term."""
+    names = [x.split()[0] for x in POSTINGS.replace("array<int>", "array").split(", ")]
+
+    def group(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(0, batch.num_rows, SLICE_ROWS):
+                part = batch.slice(at, SLICE_ROWS)
+                flat, row = part["tokens"].flatten(), pc.list_parent_indices(part["tokens"])
+                term, place = flat.field("text"), flat.field("position")
+                if stemmer is not None and len(term):
+                    words = term.dictionary_encode()
+                    term = pa.array(stemmer.stem_all(words.dictionary.to_pylist()), pa.string()).take(words.indices)
+                got = pa.table([row, term, place], ["row", "term", "place"]).group_by(["row", "term"], use_threads=False).aggregate([("place", "list"), ("place", "count")]).combine_chunks()
+                row, n = got["row"], part.num_rows
+                columns = [
+                    pa.concat_arrays([got["term"].combine_chunks().cast(pa.string()), pa.nulls(n, pa.string())]),
+                    pa.concat_arrays([part["doc_id"].take(row).combine_chunks(), part["doc_id"]]),
+                    pa.concat_arrays([got["place_count"].combine_chunks().cast(pa.int64()), pa.nulls(n, pa.int64())]),
+                    pa.concat_arrays([got["place_list"].combine_chunks().cast(pa.list_(pa.int32())), pa.nulls(n, pa.list_(pa.int32()))]),
+                    pa.concat_arrays([part["dl"].take(row).combine_chunks(), part["dl"]]),
+                ]
+                yield pa.RecordBatch.from_arrays([pa.array([field] * len(columns[0]), pa.string()), *columns], names)
+
+    return rows.mapInArrow(group, POSTINGS)
+
+
+def _text_rows(docs: DataFrame, schema: Schema, name: str) -> DataFrame:
+    kind, analyzer = docs.schema[name].dataType, schema.get(name).get_analyzer()
+    rows = docs.where(F.col(f"`{name}`").isNotNull()).select("doc_id", text_of(F.col(f"`{name}`"), kind).alias("text"))
+    tokens = rows.select("doc_id", analyzer.words_column(F.col("text")).alias("tokens"))
+    return _grouped(tokens.select("doc_id", "tokens", F.size("tokens").alias("dl")), name, analyzer.stemmer)
+
+
+def _keyword_rows(docs: DataFrame, name: str) -> DataFrame:
     values = docs.select("doc_id", keyword_values(docs, name).alias("v")).where("v is not null")
-    each = values.select("doc_id", F.size("v").alias("dl"), F.explode("v").alias("v")).select("doc_id", "dl", strip_space(F.lower("v")).alias("term")).where("term <> ''")
-    grouped = each.groupBy("doc_id", "term", "dl").agg(F.count(F.lit(1)).alias("tf"))
-    return grouped.select(F.lit(name).alias("field"), "term", "doc_id", "tf", F.expr("array_repeat(0, int(tf))").alias("positions"), "dl")
+    terms = F.filter(F.transform("v", lambda v: strip_space(F.lower(v))), lambda v: v != "")
+    tokens = F.transform(terms, lambda v: F.struct(v.alias("text"), F.lit(0).alias("position")))
+    return _grouped(values.select("doc_id", tokens.alias("tokens"), F.size("v").alias("dl")), name)
 
 
 def _union(parts: list[DataFrame], spark: SparkSession, shape: str) -> DataFrame:
@@ -79,20 +107,28 @@ def indexed_fields(docs: DataFrame, schema: Schema) -> tuple[list[str], list[str
     return [n for n in schema.get_text_fields() if n in there], [n for n in schema.get_keyword_fields() if n in there]
 
 
-def build_postings(docs: DataFrame, schema: Schema) -> DataFrame:
+def analysed(docs: DataFrame, schema: Schema) -> DataFrame:
+    """Postings of all fields, and rows with a null term for the length of each document's field."""
     text, keyword = indexed_fields(docs, schema)
-    parts = [_text_postings(docs, schema, n) for n in text] + [_keyword_postings(docs, n) for n in keyword]
+    parts = [_text_rows(docs, schema, n) for n in text] + [_keyword_rows(docs, n) for n in keyword]
     return _union(parts, docs.sparkSession, POSTINGS)
 
 
-def field_lengths(docs: DataFrame, schema: Schema) -> DataFrame:
+def postings_of(rows: DataFrame) -> DataFrame:
+    return rows.where("term is not null")
+
+
+def lengths_of(rows: DataFrame) -> DataFrame:
     """Lengths of all documents that have a field, empty ones included."""
-    text, keyword = indexed_fields(docs, schema)
-    parts = [text_tokens(docs, schema, n).select(F.lit(n).alias("field"), "doc_id", F.size("tokens").alias("dl")) for n in text]
-    for n in keyword:
-        values = docs.select("doc_id", keyword_values(docs, n).alias("v")).where("v is not null")
-        parts.append(values.select(F.lit(n).alias("field"), "doc_id", F.size("v").alias("dl")))
-    return _union(parts, docs.sparkSession, LENGTHS)
+    return rows.where("term is null").select("field", "doc_id", "dl")
+
+
+def build_postings(docs: DataFrame, schema: Schema) -> DataFrame:
+    return postings_of(analysed(docs, schema))
+
+
+def field_lengths(docs: DataFrame, schema: Schema) -> DataFrame:
+    return lengths_of(analysed(docs, schema))
 
 
 def dictionary(postings: DataFrame) -> DataFrame:
