@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import math
 from collections.abc import Callable
+from functools import reduce
 
 import pandas as pd
 from pyspark.sql import Column
@@ -51,6 +52,11 @@ class BM25Scorer(Scorer):
     def score_multi_field(scores: list[tuple[float, float]]) -> float:
         return sum(s * b for s, b in scores)
 
+    @staticmethod
+    def multi_field_column(scores: list[tuple[Column, float]]) -> Column:
+        """The same of columns: each field's score times its boost; a null is a field without a match."""
+        return reduce(lambda a, b: a + b, (F.coalesce(s, F.lit(0.0)) * F.lit(float(b)) for s, b in scores), F.lit(0.0))
+
 
 class PythonScorer(Scorer):
     """A scorer from a Python function of the five numbers, by an Arrow UDF."""

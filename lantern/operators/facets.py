@@ -35,6 +35,39 @@ def top_facets(counts: DataFrame, limit: int = 10) -> DataFrame:
     return counts.withColumn("place", F.row_number().over(order)).where(F.col("place") <= limit).drop("place")
 
 
+class FacetCollector:
+    """Counts values of a few documents on the driver; :func:`facet_counts` counts those of a table.
+
+    ``counted`` takes over what that gives, for the same views of it.
+    """
+
+    def __init__(self):
+        self._fields: dict[str, dict[str, int]] = {}
+
+    def add(self, field: str, value: object) -> None:
+        own = self._fields.setdefault(field, {})
+        for v in value if isinstance(value, list) else [value]:
+            own[str(v)] = own.get(str(v), 0) + 1
+
+    @classmethod
+    def counted(cls, counts: DataFrame, limit: int) -> FacetCollector:
+        """The ``limit`` most frequent values of each field of a table of counts."""
+        out = cls()
+        for r in top_facets(counts, limit).collect():
+            out._fields.setdefault(r.field, {})[r.value] = r["count"]
+        return out
+
+    def get_facets(self, field: str, limit: int | None = 10) -> list[tuple[str, int]]:
+        """Values by count, the most frequent first."""
+        return sorted(self._fields.get(field, {}).items(), key=lambda item: -item[1])[:limit]
+
+    def get_all_facets(self, limit: int | None = 10) -> dict[str, list[tuple[str, int]]]:
+        return {field: self.get_facets(field, limit) for field in self._fields}
+
+    def to_dict(self) -> dict[str, dict[str, int]]:
+        return {field: dict(pairs) for field, pairs in self.get_all_facets(None).items()}
+
+
 class FacetFilter:
     """All fields must match, any value of a field does."""
 

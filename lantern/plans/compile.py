@@ -24,6 +24,8 @@ from lantern.plans.ast import BoolQuery, MatchAllQuery, PhraseQuery, Query, Rang
 from lantern.sources.schema import Schema
 
 PHRASE_FACTOR = 2.0
+#: A prefix of at most so many terms selects postings by these.
+WILDCARD_TERMS = 1024
 NUMBER = r"^[+-]?((\d+(_\d+)*)?\.\d+(_\d+)*|\d+(_\d+)*\.?)([eE][+-]?\d+(_\d+)*)?$"
 WORDED = r"^[+-]?(inf|infinity|nan)$"
 
@@ -177,12 +179,19 @@ class Compiler:
                 prefix = q.pattern.rstrip("*").lower()
                 for f in self._targets(q.field):
                     found = terms.where((F.col("field") == f) & F.startswith("term", F.lit(prefix)))
-                    term = F.col("term")
-                    if self.index.schema.get(f).kind == "text":
-                        # An indexed term is analysed again before it is looked up.
-                        term = F.coalesce(F.get(self.index.schema.get(f).get_analyzer().terms_column(term), F.lit(0)), term)
-                    parts.append(found.select(F.lit(leaf.name).alias("leaf"), "field", term.alias("term"), F.lit(float(q.boost)).alias("boost")).distinct())
-                    pushed.append(F.col("field") == f)
+                    if self.index.schema.get(f).kind == "keyword":
+                        parts.append(found.select(F.lit(leaf.name).alias("leaf"), "field", "term", F.lit(float(q.boost)).alias("boost")))
+                        pushed.append((F.col("field") == f) & F.startswith("term", F.lit(prefix)))
+                        continue
+                    # An indexed term is analysed again before it is looked up, so its beginning may be another.
+                    term = F.coalesce(F.get(self.index.schema.get(f).get_analyzer().terms_column(F.col("term")), F.lit(0)), F.col("term"))
+                    asked = found.select(F.lit(leaf.name).alias("leaf"), "field", term.alias("term"), F.lit(float(q.boost)).alias("boost")).distinct()
+                    few = asked.limit(WILDCARD_TERMS + 1).collect() if prefix else []
+                    if prefix and len(few) <= WILDCARD_TERMS:
+                        fixed += [(leaf.name, f, r.term, float(q.boost)) for r in few]
+                    else:
+                        parts.append(asked)
+                        pushed.append(F.col("field") == f)
         if fixed:
             parts.append(spark.createDataFrame(fixed, "leaf string, field string, term string, boost double"))
             for f in dict.fromkeys(x[1] for x in fixed):

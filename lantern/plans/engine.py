@@ -23,6 +23,10 @@ from lantern.sources.schema import Schema, TextField
 from lantern.sources.store import SegmentStore
 
 SOURCE = "_source"
+#: A commit beyond so many segments writes the index anew as one.
+MOST_SEGMENTS = 16
+#: Values of a field that :meth:`SearchEngine.search` counts for its caller, the most frequent first.
+FACET_LIMIT = 10_000
 
 
 class SearchHit:
@@ -53,19 +57,27 @@ class SearchResults:
         return len(self.hits)
 
 
+def fresh_name(name: str, taken: list[str]) -> str:
+    """``name``, or a longer one that is none of ``taken``."""
+    while name.lower() in {t.lower() for t in taken}:
+        name = f"_{name}"
+    return name
+
+
 def dense_ids(df: DataFrame, start: int, column: str = "doc_id") -> DataFrame:
     """Adds ids without gaps, in partition order, from a count per partition."""
-    placed = df.withColumn("_at", F.monotonically_increasing_id()).persist(StorageLevel.DISK_ONLY)
-    sizes = placed.groupBy(F.shiftright("_at", 33).alias("part")).count().orderBy("part").collect()  # a row for each partition
+    at = fresh_name("at", df.columns)
+    placed = df.withColumn(at, F.monotonically_increasing_id()).persist(StorageLevel.DISK_ONLY)
+    sizes = placed.groupBy(F.shiftright(at, 33).alias("part")).count().orderBy("part").collect()  # a row for each partition
     offsets, total = [], start
     for r in sizes:
         offsets.append((r["part"], total))
         total += r["count"]
     if not offsets:
         return df.withColumn(column, F.lit(None).cast("bigint"))
-    base = F.broadcast(df.sparkSession.createDataFrame(offsets, "_part bigint, _base bigint"))  # as many rows as partitions
-    joined = placed.join(base, F.shiftright("_at", 33) == F.col("_part"))
-    return joined.select((F.col("_base") + F.col("_at").bitwiseAND(F.lit((1 << 33) - 1))).alias(column), *(F.col(f"`{c}`") for c in df.columns))
+    base = F.broadcast(df.sparkSession.createDataFrame(offsets, "part bigint, base bigint"))  # as many rows as partitions
+    joined = placed.join(base, F.shiftright(placed[at], 33) == base["part"])
+    return joined.select((base["base"] + placed[at].bitwiseAND(F.lit((1 << 33) - 1))).alias(column), *(placed[f"`{c}`"] for c in df.columns if c != column))
 
 
 def together(a: DataFrame, b: DataFrame) -> DataFrame:
@@ -92,6 +104,9 @@ class SearchEngine:
     of any size.  The index is built on first use and stored by ``commit``.
     With ``negation="exclude"`` a parsed NOT excludes; by default it follows the
     reference semantics, where it matches nothing.
+
+    A commit writes what was added since the last one as a segment of its own;
+    removals, and more than ``MOST_SEGMENTS`` segments, write all anew as one.
     """
 
     def __init__(self, path: str | None = None, schema: Schema | None = None, scorer: str | Scorer = "bm25", spark: SparkSession | None = None, negation: str = "reference"):
@@ -106,6 +121,11 @@ class SearchEngine:
         # Postings and lengths of the documents indexed so far, and the documents that are not yet in them.
         self._base: tuple[DataFrame, DataFrame] | None = None
         self._fresh: DataFrame | None = None
+        # What was analysed since the last commit, as (documents, rows); and whether what was stored changed as well.
+        self._pending: list[tuple[DataFrame, DataFrame]] = []
+        self._rewritten = False
+        #: The last batch of each stream that the index holds.
+        self.streams: dict[str, int] = {}
         self._index: Index | None = None
         self._next = 0
         self._phantom: set[str] = set()
@@ -147,7 +167,7 @@ class SearchEngine:
     def _without(self, gone: DataFrame) -> None:
         self._docs, self._fresh = (d and d.join(gone, "doc_id", "left_anti") for d in (self._docs, self._fresh))
         self._base = self._base and tuple(d.join(gone, "doc_id", "left_anti") for d in self._base)
-        self._phantom = set()
+        self._phantom, self._rewritten = set(), True
         self._touched()
 
     def _row(self, doc_id: int, document: dict) -> dict:
@@ -228,15 +248,14 @@ class SearchEngine:
     def index(self) -> Index:
         if self._index is None:
             # Documents are read where they lie; only what was computed from them is kept.
-            docs, before = self.documents, self._base
-            if before is None:
-                postings, lengths = index_ops.build_postings(docs, self.schema), index_ops.field_lengths(docs, self.schema)
-            else:
-                postings, lengths = before
-                if self._fresh is not None:  # an append analyses what is new
-                    postings = postings.unionByName(index_ops.build_postings(self._fresh, self.schema))
-                    lengths = lengths.unionByName(index_ops.field_lengths(self._fresh, self.schema))
-            self._base, self._fresh = (postings.persist(StorageLevel.MEMORY_AND_DISK), lengths), None
+            docs = self.documents
+            fresh = docs if self._base is None else self._fresh
+            if fresh is not None:  # an append analyses what is new
+                rows = index_ops.analysed(fresh, self.schema).persist(StorageLevel.MEMORY_AND_DISK)
+                self._pending.append((fresh, rows))
+                new = index_ops.postings_of(rows), index_ops.lengths_of(rows)
+                self._base = new if self._base is None else tuple(a.unionByName(b) for a, b in zip(self._base, new))
+            self._fresh = None
             self._index = self._facts(docs, *self._base)
         return self._index
 
@@ -259,8 +278,17 @@ class SearchEngine:
         return Compiler(index, self.scorer, self.negation).matched(self.parse(query), chosen.column(index.docs) if chosen.active else None)
 
     def page(self, query: str | Query, limit: int = 10, offset: int = 0, filters: dict[str, list[str]] | None = None) -> DataFrame:
-        """Best matches with their documents, as a DataFrame."""
-        return self._ranked(self.matches(query, filters), limit, offset).join(self.index.docs, "doc_id").orderBy(F.desc("score"), "doc_id")
+        """Best matches with their documents, as a DataFrame; a document's own ``score`` is ``document_score`` here."""
+        found, rank = self._joined(self.matches(query, filters), limit, offset)
+        if rank != "score":
+            found = found.withColumnRenamed("score", fresh_name("document_score", found.columns)).withColumnRenamed(rank, "score")
+        return found.orderBy(F.desc("score"), "doc_id")
+
+    def _joined(self, matched: DataFrame, limit: int, offset: int) -> tuple[DataFrame, str]:
+        """The ranked rows with their documents, and the name that their score has there."""
+        docs = self.index.docs
+        rank = fresh_name("score", docs.columns)
+        return self._ranked(matched, limit, offset).withColumnRenamed("score", rank).join(docs, "doc_id"), rank
 
     @staticmethod
     def _ranked(matched: DataFrame, limit: int, offset: int) -> DataFrame:
@@ -269,7 +297,12 @@ class SearchEngine:
     def with_highlight(self, page: DataFrame, query: str | Query, field: str, name: str = "snippet", fragment_size: int | None = None) -> DataFrame:
         return page.withColumn(name, self.highlighter.column(F.col(f"`{field}`"), raw_terms(self.parse(query)), fragment_size))
 
-    def search(self, query: str | Query, limit: int = 10, offset: int = 0, facets: list[str] | None = None, filters: dict[str, list[str]] | None = None) -> SearchResults:
+    def search(self, query: str | Query, limit: int = 10, offset: int = 0, facets: list[str] | None = None, filters: dict[str, list[str]] | None = None, facet_limit: int = FACET_LIMIT) -> SearchResults:
+        """A page of hits with the number of all matches.
+
+        Of each facet, the ``facet_limit`` most frequent values come to the
+        driver; ``facets.facet_counts`` gives all of them as a table.
+        """
         began, parsed = time.perf_counter(), self.parse(query)
         if limit < 0 or offset < 0:
             raise ValueError("limit and offset can't be negative")
@@ -280,13 +313,13 @@ class SearchEngine:
             counts: dict[str, dict[str, int]] = {}
             if facets and total:
                 found = facet_ops.facet_counts(index.docs.join(matched, "doc_id", "left_semi"), facets)
-                for r in found.orderBy("field", F.desc("count"), "value").collect():
-                    counts.setdefault(r.field, {})[r.value] = r["count"]
-            rows = self._ranked(matched, limit, offset).join(index.docs, "doc_id").collect() if limit and total else []
+                counts = facet_ops.FacetCollector.counted(found, facet_limit).to_dict()
+            page, rank = self._joined(matched, limit, offset)
+            rows = page.collect() if limit and total else []
         finally:
             matched.unpersist()
         words = raw_terms(parsed)
-        hits = [SearchHit(r["doc_id"], r["score"], _document({k: v for k, v in r.asDict().items() if k != "score"}), self.highlighter, words) for r in rows]
+        hits = [SearchHit(r["doc_id"], r[rank], _document({k: v for k, v in r.asDict().items() if k != rank}), self.highlighter, words) for r in rows]
         hits.sort(key=lambda h: (-h.score, h.doc_id))
         return SearchResults(hits, total, round((time.perf_counter() - began) * 1000, 2), counts)
 
@@ -307,7 +340,7 @@ class SearchEngine:
         """The whole index as tables, and the facts that go with them."""
         index = self.index
         tables = {"docs": index.docs, "postings": index.postings, "terms": index.terms, "lengths": self._base[1]}
-        facts = {"schema": self.schema.to_json(), "next_doc_id": self._next, "doc_count": index.doc_count, "total_lengths": index.total_lengths, "phantom": sorted(self._phantom)}
+        facts = {"schema": self.schema.to_json(), "next_doc_id": self._next, "doc_count": index.doc_count, "total_lengths": index.total_lengths, "phantom": sorted(self._phantom), "streams": self.streams}
         return tables, facts
 
     def load_tables(self, tables: dict[str, DataFrame], facts: dict) -> None:
@@ -315,7 +348,8 @@ class SearchEngine:
         if facts["schema"] != self.schema.to_json():
             raise ValueError("the index has another schema")
         self._docs, self._fresh, self._buffer, self._next = tables["docs"], None, [], facts["next_doc_id"]
-        self._phantom = set(facts["phantom"])
+        self._pending, self._rewritten = [], True
+        self._phantom, self.streams = set(facts["phantom"]), dict(facts.get("streams", {}))
         shapes = {"postings": index_ops.POSTINGS, "terms": index_ops.TERMS, "lengths": index_ops.LENGTHS}
         shaped = {t: tables[t].select(*self.spark.createDataFrame([], shape).columns) if facts["doc_count"] else self.spark.createDataFrame([], shape) for t, shape in shapes.items()}
         self._base = shaped["postings"], shaped["lengths"]
@@ -345,14 +379,38 @@ class SearchEngine:
             "terms": lambda d: d.repartitionByRange("field", "term").sortWithinPartitions("field", "term").write.partitionBy("field"),
             "docs": lambda d: d.write,
         }
-        self._store.compact(tables, facts=facts, layout=layout)
+        before = len(self._store.list_segments())
+        if self._rewritten or not 0 < before < MOST_SEGMENTS:
+            self._store.compact(tables, facts=facts, layout=layout)
+        else:
+            docs, rows = self._pending[0] if self._pending else (tables["docs"].limit(0), self.spark.createDataFrame([], index_ops.POSTINGS))
+            for more, of_more in self._pending[1:]:
+                docs, rows = together(docs, more), rows.unionByName(of_more)
+            postings = index_ops.postings_of(rows)
+            new = {"docs": docs, "postings": postings, "terms": index_ops.dictionary(postings), "lengths": index_ops.lengths_of(rows)}
+            self._store.save_segment(new, facts=facts, layout=layout)
+        for _, rows in self._pending:
+            rows.unpersist()
         self._dirty = False
         self._load()
 
     def _load(self) -> None:
-        got = self._store.load_latest()
-        if got:
-            self.load_tables(*got)
+        segments = self._store.list_segments()
+        if not segments:
+            return
+        shapes = {"postings": index_ops.POSTINGS, "terms": index_ops.TERMS, "lengths": index_ops.LENGTHS}
+        parts = [self._store.load_segment(x["id"], shapes) for x in segments]
+        tables = parts[0]
+        for part in parts[1:]:
+            tables = {name: together(tables[name], part[name]) if name == "docs" else tables[name].unionByName(part[name]) for name in tables}
+        if len(parts) > 1:
+            tables["terms"] = tables["terms"].groupBy("field", "term").agg(F.sum("df").alias("df"), F.sum("cf").alias("cf"))
+        self.load_tables(tables, segments[-1]["facts"])
+        self._rewritten = False
+
+    @property
+    def stored(self) -> bool:
+        return self._store is not None and not self._dirty
 
     def close(self) -> None:
         self.commit()

@@ -63,17 +63,28 @@ class Schema:
     def get(self, name: str) -> FieldType | None:
         return self.fields.get(name)
 
+    get_field = get
+
+    def field_names(self) -> list[str]:
+        return [*self.fields]
+
+    def _of(self, *kinds: str) -> dict[str, FieldType]:
+        return dict(item for item in self.fields.items() if item[1].kind in kinds)
+
     def get_text_fields(self) -> list[str]:
-        return [n for n, f in self.fields.items() if f.kind == "text"]
+        return [*self._of("text")]
 
     def get_keyword_fields(self) -> list[str]:
-        return [n for n, f in self.fields.items() if f.kind == "keyword"]
+        return [*self._of("keyword")]
 
     def get_numeric_fields(self) -> list[str]:
-        return [n for n, f in self.fields.items() if f.kind == "numeric"]
+        return [*self._of("numeric")]
+
+    def get_faceted_fields(self) -> list[str]:
+        return [name for name in self.fields if self.fields[name].faceted]
 
     def get_searchable_fields(self) -> list[str]:
-        return [n for n, f in self.fields.items() if f.kind in ("text", "keyword") and f.indexed]
+        return [name for name, kind in self._of("text", "keyword").items() if kind.indexed]
 
     def validate_document(self, document: dict) -> list[str]:
         return [f"unknown field: {n}" for n in document if n not in self.fields]
