@@ -7,20 +7,23 @@ stemmed ones are tested against goldens and a brute-force evaluator.
 
 from __future__ import annotations
 
+import tempfile
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lantern.functions.analysis import Analyzer, simple_analyzer
-from lantern.functions.scoring import BM25Scorer, TFIDFScorer
+from lantern.functions.analysis import Analyzer, AnalyzerPipeline, exact_analyzer, keyword_analyzer, simple_analyzer, standard_analyzer
+from lantern.functions.scoring import BM25Scorer, PythonScorer, TFIDFScorer
 from lantern.functions.snippets import Highlighter
 from lantern.functions.stems import stem_arrays
-from lantern.functions.text import AccentStripper, LowercaseNormalizer, NgramTokenizer, PunctuationStripper, RegexTokenizer, SentenceTokenizer, StopWordFilter, UnicodeNormalizer, WhitespaceTokenizer
+from lantern.functions.text import ENGLISH_STOP_WORDS, AccentStripper, LowercaseNormalizer, NgramTokenizer, PunctuationStripper, RegexTokenizer, SentenceTokenizer, StopWordFilter, UnicodeNormalizer, WhitespaceTokenizer
 from lantern.operators import facets, postings
 from lantern.plans.ast import BoolQuery, MatchAllQuery, PhraseQuery, RangeQuery, TermQuery, WildcardQuery
 from lantern.plans.compile import Compiler
 from lantern.plans.engine import SearchEngine
+from lantern.plans.stem_sql import stemmed
 from lantern.sources.schema import KeywordField, NumericField, Schema, TextField
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -133,7 +136,10 @@ def tokenize_sentence(spark, sf_dir):
     return found.select("doc_id", "place", "sentence")
 
 
-@registered()
+@registered(rf"""with t as (select doc_id, regexp_extract_all(text, '{W}') l, string_split_regex(text, '{W}') g from documents where text is not null),
+u as (select doc_id, unnest(l) tok, unnest(g[1:len(l)]) gap, generate_subscripts(l, 1) k from t),
+s as (select doc_id, tok, k, sum(length(gap)) over w + coalesce(sum(length(tok)) over (partition by doc_id order by k rows between unbounded preceding and 1 preceding), 0) a from u window w as (partition by doc_id order by k))
+select doc_id, tok as text, (k - 1)::int as position, a::int as start_char, (a + length(tok))::int as end_char from s""")
 def token_offsets(spark, sf_dir):
     docs = table(spark, sf_dir, "documents")
     return docs.select("doc_id", F.inline(RegexTokenizer().with_offsets(F.col("text"))))
@@ -166,7 +172,7 @@ def unicode_normalize(spark, sf_dir):
     return _exploded(table(spark, sf_dir, "documents"), "doc_id", analyzer.column(F.col("text")))
 
 
-@registered()
+@registered(DOCS + f"select term, stem from ({stemmed('select distinct term from tk')})")
 def porter_stem_vocab(spark, sf_dir):
     words = documents_engine(spark, sf_dir).index.terms.where("field = 'text'").select("term")
     return words.select("term", F.get(stem_arrays(F.array("term")), F.lit(0)).alias("stem"))
@@ -382,9 +388,10 @@ def match_all_page(spark, sf_dir):
     return documents_engine(spark, sf_dir).page(MatchAllQuery(), limit=10, offset=20).select("doc_id", "score", "lang")
 
 
-@registered()
+@registered(DOCS + f"select doc_id, round(a.s + b.s, 6) as score, source from {bm25('the')} a join {bm25('that')} b using (doc_id) join documents using (doc_id) order by a.s + b.s desc, doc_id limit 10 offset 5")
 def ranked_page(spark, sf_dir):
-    return documents_engine(spark, sf_dir).page("the AND that", limit=10, offset=5).select("doc_id", "score", "source")
+    page = documents_engine(spark, sf_dir).page("the AND that", limit=10, offset=5)
+    return page.select("doc_id", F.round("score", 6).alias("score"), "source")
 
 
 # ---------------------------------------------------------------- facets
@@ -425,7 +432,18 @@ def search_many(spark, sf_dir):
     return found.select("query", "doc_id", F.round("score", 6).alias("score"))
 
 
-@registered()
+STEMMED = DOCS + f""", ss as ({stemmed('select distinct term from tk')}),
+ks as (select doc_id, stem from tk join ss using (term) where term not in ({", ".join(f"'{w}'" for w in sorted(ENGLISH_STOP_WORDS))})),
+ls as (select doc_id, count(ks.stem) dl from dl left join ks using (doc_id) group by doc_id),
+sa as (select sum(dl)::double / (select count(*) from documents) avgdl, (select count(*) from documents) n from ls),
+sp as (select stem, doc_id, count(*) tf from ks group by all),
+sd as (select stem, count(*) df from sp group by all),
+sc as (select stem, doc_id, ln((n - df + 0.5) / (df + 0.5) + 1.0) * (tf * 2.2) / (tf + 1.2 * (0.25 + 0.75 * dl / greatest(avgdl, 1.0))) s from sp join sd using (stem) join ls using (doc_id), sa)
+"""
+
+
+@registered(STEMMED + f""", again as ({stemmed("select distinct stem as term from sd where starts_with(stem, 'moron')")})
+select doc_id, round(max(s), 6) as score from sc where stem in ('read', 'licens') or stem in (select stem from again) group by doc_id""")
 def stemmed_search(spark, sf_dir):
     return _out(stemmed_engine(spark, sf_dir).matches("reading OR moron* OR license"))
 
@@ -471,3 +489,149 @@ def term_with_price_filter(spark, sf_dir):
 @registered(PARTS + "select doc_id, round(max(s) * 2.0, 6) as score from sc where field = 'p_type' and starts_with(term, 'eco') group by doc_id")
 def wildcard_field_boost(spark, sf_dir):
     return _out(parts_engine(spark, sf_dir).matches(WildcardQuery("eco*", "p_type", 2.0)))
+
+
+# ------------------------------------------------- the language, whole pages
+
+
+@registered(DOCS + f"select doc_id, round(x.s + c.s, 6) as score from (select doc_id, greatest(a.s, b.s) s from {bm25('that')} a full join {bm25('der')} b using (doc_id)) x join {bm25('with')} c using (doc_id)")
+def parsed_grouping(spark, sf_dir):
+    return _out(documents_engine(spark, sf_dir).matches("(that OR der) AND with"))
+
+
+@registered("select doc_id, 1.0::double as score from documents")
+def parsed_star(spark, sf_dir):
+    return _out(documents_engine(spark, sf_dir).matches("*"))
+
+
+@registered(DOCS + "select doc_id, round(2.5 * (tf + df::double / n) / dl, 6) as score from po join dl using (doc_id), st, (select count(*) df from po where term = 'with') where term = 'with'")
+def custom_scorer(spark, sf_dir):
+    engine = documents_engine(spark, sf_dir)
+    return _out(Compiler(engine.index, PythonScorer(lambda tf, df, dl, avgdl, n: 2.5 * (tf + df / n) / dl)).matched(TermQuery("with")))
+
+
+@registered(PARTS + """, f2 as (select doc_id, sum(s) filter (where field = 'p_name') / 2.0 a, sum(s) filter (where field = 'p_type') b from sc where term in ('widget', 'steel') group by doc_id)
+select doc_id, round(coalesce(a, 0) * 3.0 + coalesce(b, 0) * 0.5, 6) as score from f2 where a is not null or b is not null""")
+def multi_field_scores(spark, sf_dir):
+    """Scores of two fields, combined by boosts."""
+    engine = parts_engine(spark, sf_dir)
+    scores = [engine.index.postings.where(F.col("field") == f).join(engine.index.terms, ["field", "term"]).where(F.col("term").isin("widget", "steel")) for f in ("p_name", "p_type")]
+    sums = [d.groupBy("doc_id").agg(F.sum(BM25Scorer().column(F.col("tf"), F.col("df"), F.col("dl"), F.lit(engine.index.average_length(f)), F.lit(engine.index.doc_count))).alias(f)) for d, f in zip(scores, ("p_name", "p_type"))]
+    return sums[0].join(sums[1], "doc_id", "full").select("doc_id", F.round(BM25Scorer.multi_field_column([(F.col("p_name"), 3.0), (F.col("p_type"), 0.5)]), 6).alias("score"))
+
+
+@registered(r"""with v as (select p_partkey, lower(unnest(regexp_extract_all(p_type, '\S+'))) term from part),
+w as (select p_partkey, lower(unnest(regexp_extract_all(p_brand, '[\p{L}\p{N}_]+'))) term from part)
+select p_partkey, preset, term from v, (select unnest(['exact', 'keyword', 'simple']) as preset) union all select p_partkey, 'built', term from w where term <> 'brand'""")
+def analyzer_presets(spark, sf_dir):
+    """Terms of each preset, and of an analyzer built step by step."""
+    parts = table(spark, sf_dir, "part")
+    built = AnalyzerPipeline().tokenizer(RegexTokenizer(r"\w+", r"[\p{L}\p{N}_]+")).add_normalizer(LowercaseNormalizer()).stop_words({"brand"}).build()
+    of = {"exact": (exact_analyzer(), "p_type"), "keyword": (keyword_analyzer(), "p_type"), "simple": (simple_analyzer(), "p_type"), "built": (built, "p_brand")}
+    every = F.array(*(F.struct(F.lit(n).alias("preset"), a.terms_column(F.col(c)).alias("terms")) for n, (a, c) in of.items()))
+    each = parts.select("p_partkey", F.explode(every).alias("x"))
+    return each.select("p_partkey", "x.preset", F.explode("x.terms").alias("term"))
+
+
+@registered(STEMMED + "select doc_id, stem as term from ks")
+def standard_terms(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents")
+    return docs.select("doc_id", F.explode(standard_analyzer().terms_column(F.col("text"))).alias("term"))
+
+
+@registered(DOCS + "select 'text' as field, term, tf from po where doc_id = 7 union all select 'lang', lower(trim(lang)), 1 from documents where doc_id = 7 and lang is not null union all select 'source', lower(trim(source)), 1 from documents where doc_id = 7 and source is not null")
+def postings_of_document(spark, sf_dir):
+    return postings.by_doc(documents_engine(spark, sf_dir).index.postings, 7).select("field", "term", "tf")
+
+
+@registered(DOCS + f""", h as (select doc_id, s, lang, row_number() over (order by s desc, doc_id) r from {bm25('with')} join documents using (doc_id)),
+t as (select count(*) total from h), l as (select lang, count(*) c from h where lang is not null group by lang)
+select 'hit' as kind, r::int as place, doc_id, round(s, 6) as score, lang as value from h where r <= 10 union all select 'total', 0, total, 0.0, null from t union all select 'facet', 0, c, 0.0, lang from l""")
+def search_results(spark, sf_dir):
+    """A page of hits with its total and facet counts, as the facade returns them."""
+    found = documents_engine(spark, sf_dir).search("with", limit=10, facets=["lang"])
+    rows = [("hit", k + 1, h.doc_id, round(h.score, 6), h.doc["lang"]) for k, h in enumerate(found)]
+    rows += [("total", 0, found.total, 0.0, None)] + [("facet", 0, n, 0.0, value) for value, n in found.facets["lang"].items()]
+    return spark.createDataFrame(rows, "kind string, place int, doc_id long, score double, value string")
+
+
+@registered("""select p_partkey, regexp_replace(p_name, '(widget|red)', '<b>\\1</b>', 'gi') as marked from part""")
+def highlight_names(spark, sf_dir):
+    return table(spark, sf_dir, "part").select("p_partkey", Highlighter().column(F.col("p_name"), ["widget", "red"]).alias("marked"))
+
+
+@registered("select doc_id, case when coalesce(text, '') = '' then '' when length(text) > 100 then substr(text, 1, 100) || '...' else text end as none_found, case when coalesce(text, '') = '' then '' else substr(text, 1, 150) end as none_asked from documents")
+def highlight_guards(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents")
+    return docs.select("doc_id", Highlighter().column(F.col("text"), ["q\u0000q"], 100).alias("none_found"), Highlighter().column(F.col("text"), [], 100).alias("none_asked"))
+
+
+# ------------------------------------------------------------ stored indexes
+
+
+def _folder(spark: SparkSession) -> str:
+    """A place for an index in the folder that the cluster shares; a local session without one uses its own."""
+    shared = spark.conf.get("spark.checkpoint.dir", None)
+    if not shared and not spark.sparkContext.master.startswith("local"):
+        raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+    return f"{shared or 'file://' + tempfile.mkdtemp(prefix='lantern-index-')}/index-{uuid.uuid4().hex}"
+
+
+def _part_schema() -> Schema:
+    return Schema(p_name=TextField(analyzer="simple", boost=2.0), p_type=TextField(analyzer="simple"), p_brand=KeywordField(faceted=True), p_retailprice=NumericField())
+
+
+@registered(PARTS + "select doc_id, round(sum(s), 6) as score from sc where term = 'widget' group by doc_id")
+def stored_search(spark, sf_dir):
+    """Committed, opened again, searched."""
+    path, parts = _folder(spark), table(spark, sf_dir, "part")
+    with SearchEngine(path, _part_schema(), spark=spark) as engine:
+        engine.index_documents(parts, "p_partkey")
+    return _out(SearchEngine(path, _part_schema(), spark=spark).matches("widget"))
+
+
+@registered(PARTS + "select doc_id, round(max(s), 6) as score from sc where starts_with(term, 'st') group by doc_id")
+def appended_segments_search(spark, sf_dir):
+    """Three commits, each a segment of its own, searched as one."""
+    path, parts = _folder(spark), table(spark, sf_dir, "part")
+    for k in range(3):
+        with SearchEngine(path, _part_schema(), spark=spark) as engine:
+            engine.index_documents(parts.where(F.col("p_partkey") % 3 == k), "p_partkey")
+    return _out(SearchEngine(path, _part_schema(), spark=spark).matches("st*"))
+
+
+@registered(PARTS.replace("from part", "from part where p_size <= 25") + "select doc_id, round(sum(s), 6) as score from sc where term = 'widget' group by doc_id")
+def compacted_after_removal_search(spark, sf_dir):
+    """A removal makes the next commit write the index anew."""
+    path, parts = _folder(spark), table(spark, sf_dir, "part")
+    with SearchEngine(path, _part_schema(), spark=spark) as engine:
+        engine.index_documents(parts, "p_partkey")
+    with SearchEngine(path, _part_schema(), spark=spark) as engine:
+        engine.remove_where(parts.where("p_size > 25").select(F.col("p_partkey").alias("doc_id")))
+    return _out(SearchEngine(path, _part_schema(), spark=spark).matches("widget"))
+
+
+@registered(PARTS + "select doc_id, round(sum(s), 6) as score from sc where term = 'widget' group by doc_id")
+def exported_and_imported_search(spark, sf_dir):
+    path, engine = _folder(spark), SearchEngine(schema=_part_schema(), spark=spark)
+    engine.index_documents(table(spark, sf_dir, "part"), "p_partkey")
+    engine.export_json(path)
+    again = SearchEngine(schema=_part_schema(), spark=spark)
+    again.import_json(path)
+    return _out(again.matches("widget"))
+
+
+@registered("select p_partkey as doc_id, p_name, p_brand from part")
+def stored_documents(spark, sf_dir):
+    path, parts = _folder(spark), table(spark, sf_dir, "part")
+    with SearchEngine(path, _part_schema(), spark=spark) as engine:
+        engine.index_documents(parts, "p_partkey")
+    return SearchEngine(path, _part_schema(), spark=spark).documents.select("doc_id", "p_name", "p_brand")
+
+
+@registered("select field, value, count, row_number() over (partition by field order by count desc, value)::int as place from (select 'p_brand' as field, p_brand as value, count(*) as count from part group by all union all select 'p_size', p_size::varchar, count(*) from part group by all) qualify row_number() over (partition by field order by count desc, value) <= 7")
+def facet_collector(spark, sf_dir):
+    """The most frequent values on the driver, as its views give them."""
+    found = facets.FacetCollector.counted(facets.facet_counts(table(spark, sf_dir, "part"), ["p_brand", "p_size"]), 50)
+    rows = [(field, value, n, k + 1) for field, pairs in found.get_all_facets(7).items() for k, (value, n) in enumerate(pairs)]
+    return spark.createDataFrame(rows, "field string, value string, count long, place int")
