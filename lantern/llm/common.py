@@ -14,8 +14,6 @@ from pyspark.sql import types as T
 
 TABLE_FOLDER = "lantern-tables"
 
-#: Tables of keys with no more rows than this may be broadcast; larger ones are joined by a shuffle.
-BROADCAST_ROWS = 1 << 19
 #: Longs of the bitmap that tells which rows a join can concern; it is broadcast, and no larger whatever the input.
 FILTER_ROWS = 1 << 19
 
@@ -87,11 +85,6 @@ def tokenizer_path(name: str) -> str:
     return os.fspath(public_tokenizers.path(name))
 
 
-def small(keys: DataFrame) -> DataFrame:
-    """``keys`` (a written table) to join with: broadcast only if its rows, counted, are few."""
-    return F.broadcast(keys) if keys.count() <= BROADCAST_ROWS else keys
-
-
 def sifted(df: DataFrame, key: Column, keys: DataFrame, own: Column) -> tuple[DataFrame, DataFrame]:
     """``df`` in two: rows whose ``key`` may be among ``own`` of ``keys``, and rows whose key isn't.
 

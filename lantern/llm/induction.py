@@ -15,25 +15,28 @@ also start elsewhere.  It builds the suffix order by induction:
   the least of those between the suffixes that induced them (range minima over
   a block, a pending minimum for each symbol between blocks).
 
-Work goes in blocks of arrays, so memory is bounded by ``Budget`` rather than
-by the string: arrays beyond it are files mapped into memory.  These spill
-files belong to one attempt of one task and are gone when it ends; nothing else
-reads them, so a lost executor costs a retry of the task.
+Work goes in blocks, runs of the order are handed on one by one, and every array
+that is as long as the string or its LMS suffixes is a file mapped into memory
+once it exceeds ``Budget.array_bytes``: what a task holds of its own is bounded
+by the budget rather than by the string.  These files belong to one attempt of
+one task and are gone when it ends; nothing else reads them, so a lost executor
+costs a retry of the task.
 """
 
 from __future__ import annotations
 
 import os
 import tempfile
+from collections.abc import Iterator
 
 import numpy as np
 
 
 class Budget:
-    """Where arrays and queues go: memory up to a bound, then files."""
+    """Where arrays and queues go: memory up to so many bytes each, then files."""
 
-    def __init__(self, array_items: int = 1 << 26, queue_items: int = 1 << 22, block: int = 1 << 18):
-        self.array_items, self.queue_items, self.block = array_items, queue_items, block
+    def __init__(self, array_bytes: int = 1 << 25, queue_bytes: int = 1 << 25, block: int = 1 << 17):
+        self.array_bytes, self.queue_bytes, self.block = array_bytes, queue_bytes, block
         self.held = 0
         self._folder: tempfile.TemporaryDirectory | None = None
         self._file = None
@@ -46,11 +49,17 @@ class Budget:
         return self._folder.name
 
     def array(self, n: int, dtype) -> np.ndarray:
-        if n <= self.array_items:
+        if n * np.dtype(dtype).itemsize <= self.array_bytes or n == 0:
             return np.empty(n, dtype)
         handle, path = tempfile.mkstemp(dir=self.folder())
         os.close(handle)
-        return np.memmap(path, dtype, "w+", shape=(n,))
+        out = np.memmap(path, dtype, "w+", shape=(n,))
+        os.unlink(path)  # the mapping keeps it until the array goes
+        return out
+
+    def parts(self, n: int) -> Iterator[slice]:
+        for at in range(0, n, self.block):
+            yield slice(at, min(n, at + self.block))
 
     def spill(self, *arrays: np.ndarray) -> list[tuple]:
         if self._file is None:
@@ -77,34 +86,48 @@ class Budget:
 
 
 class Queue:
-    """First in, first out, of (positions, prefixes) runs; spills by the budget."""
+    """First in, first out, of (positions, prefixes) runs; spills by the budget.
+
+    ``pop_last`` takes from the other end instead.
+    """
 
     def __init__(self, budget: Budget):
         self.budget, self.runs, self.first = budget, [], 0
 
     def push(self, pos: np.ndarray, lcp: np.ndarray) -> None:
-        b = self.budget
-        if b.held + len(pos) > b.queue_items:
-            self.runs.append(("file", len(pos), b.spill(pos, lcp)))
+        b, size = self.budget, pos.nbytes + lcp.nbytes
+        if b.held + size > b.queue_bytes:
+            self.runs.append((len(pos), 0, b.spill(pos, lcp)))
         else:
-            b.held += len(pos)
-            self.runs.append(("here", len(pos), [pos, lcp]))
+            b.held += size
+            # Copies: a view would keep the whole block it was cut from.
+            self.runs.append((len(pos), size, [np.array(pos), np.array(lcp)]))
+
+    def _take(self, k: int) -> list[np.ndarray]:
+        _, here, run = self.runs[k]
+        self.runs[k] = None
+        self.budget.held -= here
+        return run if here else self.budget.load(run)
 
     def pop(self) -> tuple[np.ndarray, np.ndarray] | None:
         """The oldest runs, up to a block (or one larger run)."""
         if self.first == len(self.runs):
             return None
         got, n = [], 0
-        while self.first < len(self.runs) and (not got or n + self.runs[self.first][1] <= self.budget.block):
-            kind, size, run = self.runs[self.first]
-            self.runs[self.first] = None
+        while self.first < len(self.runs) and (not got or n + self.runs[self.first][0] <= self.budget.block):
+            n += self.runs[self.first][0]
+            got.append(self._take(self.first))
             self.first += 1
-            if kind == "here":
-                self.budget.held -= size
-            got.append(self.budget.load(run) if kind == "file" else run)
-            n += size
         return np.concatenate([r[0] for r in got]), np.concatenate([r[1] for r in got])
 
+    def pop_last(self) -> tuple[np.ndarray, np.ndarray] | None:
+        """The youngest run."""
+        if self.first == len(self.runs):
+            return None
+        got = self._take(len(self.runs) - 1)
+        self.runs.pop()
+        return got[0], got[1]
+
 
 def _range_min(tables: list[np.ndarray], low: np.ndarray, high: np.ndarray) -> np.ndarray:
     """Least of items low..high (both included, low <= high)."""
@@ -171,22 +194,52 @@ class Suffixes:
         self.text = raw
         self.index = np.int32 if self.n < 1 << 31 else np.int64
         self.is_s = budget.array(self.n, np.bool_)
-        nxt, step, tail = False, budget.array_items, None
-        for stop in range(self.n, 0, -step):  # from the right, in blocks
-            start = max(0, stop - step)
-            part = raw[start:stop].astype(np.int16)
-            follow = np.append(part[1:], part[-1] if tail is None else tail)
-            sign = np.sign(follow - part)
+        nxt, tail = False, None
+        for part in reversed(list(budget.parts(self.n))):  # from the right, in blocks
+            own = raw[part].astype(np.int16)
+            sign = np.sign(np.append(own[1:], own[-1] if tail is None else tail) - own)
             if tail is None:
                 sign[-1] = -1  # the end is less than any symbol
-            known = np.where(sign != 0, np.arange(len(part)), len(part))
+            known = np.where(sign != 0, np.arange(len(own)), len(own))
             place = np.minimum.accumulate(known[::-1])[::-1]
-            self.is_s[start:stop] = np.where(place < len(part), np.append(sign > 0, nxt)[place], nxt)
-            nxt, tail = bool(self.is_s[start]), part[0]
-        self.is_lms = np.zeros(0)
+            self.is_s[part] = np.where(place < len(own), np.append(sign > 0, nxt)[place], nxt)
+            nxt, tail = bool(self.is_s[part.start]), own[0]
 
     def lms(self) -> np.ndarray:
-        return np.flatnonzero(self.is_s[1:] & ~self.is_s[:-1]).astype(self.index) + self.index(1)
+        """Positions of LMS suffixes, in text order."""
+
+        def found() -> Iterator[np.ndarray]:
+            for part in self.budget.parts(self.n - 1):
+                yield np.flatnonzero(self.is_s[part.start + 1 : part.stop + 1] & ~self.is_s[part]) + (part.start + 1)
+
+        return self._filled(sum(map(len, found())), self.index, found())
+
+    def _filled(self, n: int, dtype, parts: Iterator[np.ndarray]) -> np.ndarray:
+        out, at = self.budget.array(n, dtype), 0
+        for x in parts:
+            out[at : at + len(x)] = x
+            at += len(x)
+        return out
+
+    def _by_symbol(self, where: np.ndarray) -> np.ndarray:
+        """Positions by their symbols, stably: a counting sort in blocks."""
+        out, next_ = self.budget.array(len(where), self.index), self._bounds(where)[:-1].copy()
+        for part in self.budget.parts(len(where)):
+            own = np.asarray(where[part])
+            symbol = self.text[own]
+            order = np.argsort(symbol, kind="stable")
+            counts = np.bincount(symbol, minlength=256)
+            start = np.cumsum(counts) - counts
+            out[np.repeat(next_ - start, counts) + np.arange(len(own))] = own[order]
+            next_ += counts
+        return out
+
+    def _bounds(self, where: np.ndarray) -> np.ndarray:
+        """Where each symbol's positions begin among those sorted by symbol."""
+        counts = np.zeros(256, np.int64)
+        for part in self.budget.parts(len(where)):
+            counts += np.bincount(self.text[where[part]], minlength=256)
+        return np.concatenate(([0], np.cumsum(counts)))
 
     def words(self) -> np.ndarray:
         """The eight bytes from each position; the string ends in padding."""
@@ -214,14 +267,18 @@ class Suffixes:
                     break
         return found.astype(np.uint8)
 
-    def induce(self, seeds: np.ndarray, seed_lcp: np.ndarray, with_lcp: bool):
-        """Yields, for each symbol from the last, (L positions, L prefixes, S positions from the last, S prefixes)."""
+    def induce(self, seeds: np.ndarray, seed_lcp: np.ndarray | None) -> Iterator[tuple[str, np.ndarray, np.ndarray]]:
+        """The suffix order from its end, in runs of falling suffixes: ("S" or "L", positions, prefixes).
+
+        A prefix is what a suffix has in common with the one before it in this
+        falling order; the first of the runs of a symbol has 0.  Without
+        ``seed_lcp`` no prefixes are kept.
+        """
+        with_lcp = seed_lcp is not None
         down = _Pass(self.text, self.is_s, self.budget, self.depth, False, with_lcp)
         up_lists: list[Queue] = [Queue(self.budget) for _ in range(256)]
-        first = self.text[seeds]
-        bounds = np.searchsorted(first, np.arange(257))
-        end = np.array([self.n], self.index)
-        down.take(end, np.zeros(1, np.uint8))
+        bounds = self._bounds(seeds)
+        down.take(np.array([self.n], self.index), np.zeros(1, np.uint8))
         for c in range(256):
             last = None
             while (got := down.queues[c].pop()) is not None:
@@ -232,34 +289,72 @@ class Suffixes:
                 last = pos[-1]
                 up_lists[c].push(pos, lcp)
                 down.take(pos, lcp)
-            a, b = bounds[c], bounds[c + 1]
-            if a < b:
-                lcp = seed_lcp[a:b].copy()
-                lcp[0] = 0 if last is None or not with_lcp else self.common(np.array([last]), seeds[a : a + 1])[0]
-                down.take(seeds[a:b], lcp)
+            for at in range(bounds[c], bounds[c + 1], self.budget.block):
+                own = np.asarray(seeds[at : min(bounds[c + 1], at + self.budget.block)])
+                lcp = np.array(seed_lcp[at : at + len(own)]) if with_lcp else np.zeros(len(own), np.uint8)
+                if at == bounds[c]:
+                    lcp[0] = 0 if last is None or not with_lcp else self.common(np.array([last]), own[:1])[0]
+                down.take(own, lcp)
         up = _Pass(self.text, self.is_s, self.budget, self.depth, True, with_lcp)
         for c in range(255, -1, -1):
-            s_runs, last = [], None
+            last = None
             while (got := up.queues[c].pop()) is not None:
                 pos, lcp = got
                 if last is None:
                     lcp = lcp.copy()
                     lcp[0] = 0
                 last = pos[-1]
-                s_runs.append((pos, lcp))
+                yield "S", pos, lcp
                 up.take(pos, lcp)
-            l_runs = []
-            while (got := up_lists[c].pop()) is not None:
-                l_runs.append(got)
-            between = 0
-            if l_runs and last is not None and with_lcp:
-                between = int(self.common(l_runs[-1][0][-1:], np.array([last]))[0])
-            follow = between
-            for pos, lcp in reversed(l_runs):
+            follow = None
+            while (got := up_lists[c].pop_last()) is not None:
+                pos, lcp = got
+                if follow is None:
+                    follow = int(self.common(pos[-1:], np.array([last]))[0]) if last is not None and with_lcp else 0
                 back = np.append(lcp[1:], np.uint8(follow))[::-1]
+                yield "L", pos[::-1], back
                 up.take(pos[::-1], back)
                 follow = lcp[0]
-            yield c, l_runs, s_runs, between
+
+    def _ordered_substrings(self, where: np.ndarray) -> np.ndarray:
+        """Numbers of LMS suffixes in the order of their substrings."""
+        number = self.budget.array(self.n + 1, self.index)
+        number[:] = -1
+        for part in self.budget.parts(len(where)):
+            number[where[part]] = np.arange(part.start, part.stop, dtype=self.index)
+        out, at = self.budget.array(len(where), self.index), len(where)
+        for kind, pos, _ in self.induce(self._by_symbol(where), None):
+            if kind == "S":
+                k = number[pos]
+                k = k[k >= 0]
+                out[at - len(k) : at] = k[::-1]
+                at -= len(k)
+        return out
+
+    def _named(self, where: np.ndarray, ordered: np.ndarray) -> tuple[np.ndarray, int]:
+        """A name for each LMS substring, by its place in their order; and how many there are."""
+        words, count = self.words(), len(where)
+        rank, name = self.budget.array(count, np.int64), 0
+        for part in self.budget.parts(count - 1):
+            both = np.asarray(ordered[part.start : part.stop + 1])
+            start = where[both].astype(np.int64)
+            size = np.where(both + 1 < count, where[np.minimum(both + 1, count - 1)], self.n) - start + 1
+            a, b = start[:-1], start[1:]
+            # Nothing equals the last one, which ends with the string.
+            last = both == count - 1
+            fresh = (size[1:] != size[:-1]) | last[1:] | last[:-1]
+            live = np.flatnonzero(~fresh)
+            a, b, left = a[live], b[live], size[1:][live]
+            while len(live):
+                used = np.minimum(left, 8).astype(np.uint64) << np.uint64(3)
+                differ = (words[a] ^ words[b]) << (np.uint64(64) - used) != 0
+                fresh[live[differ]] = True
+                go = np.flatnonzero(~differ & (left > 8))
+                live, a, b, left = live[go], a[go] + 8, b[go] + 8, left[go] - 8
+            names = name + np.concatenate(([0], np.cumsum(fresh)))
+            rank[both] = names
+            name = int(names[-1])
+        return rank, name + 1
 
     def sorted_lms(self) -> tuple[np.ndarray, np.ndarray]:
         """LMS suffixes in order (up to the depth) and their common prefixes.
@@ -267,50 +362,35 @@ class Suffixes:
         These are exact where they can matter for the depth, else 0.
         """
         where = self.lms()
-        if len(where) < 2:
-            return where, np.zeros(len(where), np.uint8)
-        seeds = where[np.argsort(self.text[where], kind="stable")]
-        number = self.budget.array(self.n + 1, self.index)
-        number[:] = -1
-        number[where] = np.arange(len(where), dtype=self.index)
-        parts = []
-        for _, _, s_runs, _ in self.induce(seeds, np.zeros(len(seeds), np.uint8), False):
-            for pos, _ in s_runs:
-                k = number[pos]
-                parts.append(k[k >= 0])
-        del number
-        ordered = np.concatenate(parts)[::-1]
-        long = np.append(where[1:], self.n) - where + 1
-        a, b = where[ordered[:-1]], where[ordered[1:]]
-        size = long[ordered]
-        # Nothing equals the last one, which ends with the string.
-        last = ordered == len(where) - 1
-        fresh = (size[1:] != size[:-1]) | last[1:] | last[:-1]
-        live, words = np.flatnonzero(~fresh), self.words()
-        a, b, left = a[live], b[live], size[1:][live]
-        while len(live):
-            used = np.minimum(left, 8).astype(np.uint64) << np.uint64(3)
-            differ = (words[a] ^ words[b]) << (np.uint64(64) - used) != 0
-            fresh[live[differ]] = True
-            go = np.flatnonzero(~differ & (left > 8))
-            live, a, b, left = live[go], a[go] + 8, b[go] + 8, left[go] - 8
-        rank = np.empty(len(where), np.int64)
-        rank[ordered] = np.concatenate(([0], np.cumsum(fresh)))
-        order, h = ordered, 1
+        count = len(where)
+        if count < 2:
+            return where, np.zeros(count, np.uint8)
+        order = self._ordered_substrings(where)
+        rank, names = self._named(where, order)
+        h = 1
         # An LMS substring spans two symbols at least, so depth // 2 names reach the depth.
-        while h <= self.depth // 2 + 1 and rank.max() + 1 < len(rank):
-            key = rank * (len(rank) + 1)
-            key[:-h] += rank[h:] + 1
+        while h <= self.depth // 2 + 1 and names < count:
+            key = self.budget.array(count, np.int64)
+            for part in self.budget.parts(count):
+                key[part] = rank[part] * (count + 1)
+                more = rank[part.start + h : part.stop + h]
+                key[part.start : part.start + len(more)] += more + 1
             order = external_argsort(key, self.budget)
-            k = key[order]
-            rank[order] = np.concatenate(([0], np.cumsum(k[1:] != k[:-1])))
-            h *= 2
-        seeds = where[order]
-        lcp = np.zeros(len(seeds), np.uint8)
-        reach = int(max(where[0], np.diff(where).max())) + 1
+            name = 0
+            for part in self.budget.parts(count - 1):
+                both = order[part.start : part.stop + 1]
+                k = key[both]
+                own = name + np.concatenate(([0], np.cumsum(k[1:] != k[:-1])))
+                rank[both], name = own, int(own[-1])
+            names, h = name + 1, h * 2
+        seeds = self._filled(count, self.index, (where[order[p]] for p in self.budget.parts(count)))
+        lcp = self.budget.array(count, np.uint8)
+        lcp[0] = 0
+        gaps = (int(np.diff(where[p.start : p.stop + 1]).max(initial=0)) for p in self.budget.parts(count))
+        reach, words = max(int(where[0]), *gaps) + 1, self.words()
         probe = self.depth - reach - 8
-        for at in range(1, len(seeds), self.budget.block):
-            stop = min(len(seeds), at + self.budget.block)
+        for at in range(1, count, self.budget.block):
+            stop = min(count, at + self.budget.block)
             own = rank[order[at - 1 : stop]]
             # Suffixes that doubling left tied share all names up to the depth.
             apart = np.flatnonzero(own[1:] != own[:-1]) + at
@@ -325,19 +405,29 @@ class Suffixes:
 
 
 def external_argsort(key: np.ndarray, budget: Budget) -> np.ndarray:
-    """argsort by distribution: parts that fit in memory, cut at sampled keys."""
-    if len(key) <= budget.array_items:
+    """argsort by distribution: parts that fit in memory, cut at sampled keys.
+
+    A key too frequent for a part needs no sorting and is copied through.
+    """
+    fits = max(1, budget.array_bytes // 8)
+    if len(key) <= fits:
         return np.argsort(key, kind="stable")
-    parts = -(-len(key) // budget.array_items) * 2
+    parts = -(-len(key) // fits) * 2
     cuts = np.unique(np.quantile(key[:: max(1, len(key) // 65536)], np.linspace(0, 1, parts + 1)[1:-1], method="nearest"))
-    runs: list[list] = [[] for _ in range(len(cuts) + 1)]
-    for at in range(0, len(key), budget.array_items):
-        part = np.searchsorted(cuts, key[at : at + budget.array_items], side="right")
-        for p in np.unique(part):
-            runs[p].append(budget.spill(at + np.flatnonzero(part == p)))
+    runs: list[list] = [[] for _ in range(2 * len(cuts) + 1)]  # between cuts, and at them
+    for part in budget.parts(len(key)):
+        own = np.asarray(key[part])
+        side = np.searchsorted(cuts, own, side="left") + np.searchsorted(cuts, own, side="right")
+        for p in np.unique(side):
+            runs[p].append(budget.spill(part.start + np.flatnonzero(side == p)))
     out, done = budget.array(len(key), np.int64), 0
-    for held in runs:
-        if held:
+    for p, held in enumerate(runs):
+        if p % 2:  # equal keys, in order of arrival
+            for r in held:
+                found = budget.load(r)[0]
+                out[done : done + len(found)] = found
+                done += len(found)
+        elif held:
             found = np.concatenate([budget.load(r)[0] for r in held])
             out[done : done + len(found)] = found[np.argsort(key[found], kind="stable")]
             done += len(found)
@@ -346,28 +436,25 @@ def external_argsort(key: np.ndarray, budget: Budget) -> np.ndarray:
 
 def repeated(raw: np.ndarray, depth: int, budget: Budget | None = None) -> np.ndarray:
     """A mask of positions whose next ``depth`` (2 to 250) bytes start elsewhere too."""
-    mask = np.zeros(len(raw), np.bool_)
+    budget = budget or Budget()
+    mask = budget.array(len(raw), np.bool_)
+    mask[:] = False
     if len(raw) <= depth:
         return mask
-    budget = budget or Budget()
     try:
         padded = budget.array(len(raw) + 8, np.uint8)
         padded[: len(raw)], padded[len(raw) :] = raw, 0
         s = Suffixes(padded[: len(raw)], depth, budget)
         s.padded = padded
         seeds, lcp = s.sorted_lms()
-        for _, l_runs, s_runs, between in s.induce(seeds, lcp, True):
-            for runs in (l_runs, s_runs):
-                last = None
-                for pos, prefix in runs:
-                    hit = np.flatnonzero(prefix >= depth)
-                    mask[pos[hit]] = True
-                    mask[pos[hit[hit > 0] - 1]] = True
-                    if len(hit) and hit[0] == 0 and last is not None:
-                        mask[last] = True
-                    last = pos[-1]
-            if between >= depth:
-                mask[l_runs[-1][0][-1]] = mask[s_runs[-1][0][-1]] = True
+        last = None
+        for _, pos, prefix in s.induce(seeds, lcp):
+            hit = np.flatnonzero(prefix >= depth)
+            mask[pos[hit]] = True
+            mask[pos[hit[hit > 0] - 1]] = True
+            if len(hit) and hit[0] == 0:
+                mask[last] = True
+            last = pos[-1]
     finally:
         budget.close()
     return mask

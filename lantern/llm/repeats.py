@@ -15,10 +15,14 @@ A window of ``length`` bytes is removed where an equal one starts anywhere else.
 4. The distinct contexts of the other anchors are brought together by anchor
    and ordered by external induced suffix sorting (``induction``); suffixes
    with a common prefix of ``length`` give the repeated windows.
+   Shards are as many as the contexts' bytes ask for, ``SHARD_BYTES`` each.
 5. An anchor with more than ``hot_contexts`` distinct contexts (a short line in
    a third of all documents) isn't given to one task: its windows are counted by
    128-bit hashes in a grouped aggregation, which gives the same result.
 
+Texts move twice at most, to be cut into contexts and to lose their spans; those
+that a bitmap of fixed size tells to be in neither stay where they lie.
+
 Defined results: a null text counts as empty; rows that repeat an id and text
 are documents of their own and get equal results; null ids are kept; texts
 shorter than ``length`` lose nothing; other columns are ignored.
@@ -27,6 +31,7 @@ shorter than ``length`` lose nothing; other columns are ignored.
 from __future__ import annotations
 
 import hashlib
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -42,8 +47,8 @@ HOT_CONTEXTS = 1 << 17
 BLOOM_BITS = 1 << 25
 #: A byte that UTF-8 never holds parts the contexts.
 BREAK = b"\xff"
-#: Contexts wait for the suffix sort in memory up to this many bytes, then in a file.
-SHARD_BYTES = 1 << 26
+#: Bytes of contexts that a suffix sort is given, about; and those that wait for it in memory before a file takes them.
+SHARD_BYTES, WAITING_BYTES = 1 << 25, 1 << 24
 
 #: Windows of a very long text are taken in runs of so many.
 SEGMENT = 1 << 20
@@ -171,8 +176,8 @@ def _spools(batches: Iterator[pa.RecordBatch], budget: induction.Budget):
     import tempfile
 
     columns: list[list] = [[], [], [], []]
-    with tempfile.SpooledTemporaryFile(SHARD_BYTES, dir=budget.folder()) as spool:
-        starts, at = [], 0
+    with tempfile.SpooledTemporaryFile(WAITING_BYTES, dir=budget.folder()) as spool:
+        starts, at = array("q"), 0
         for batch in _slices(batches, 4096):
             for column, name in zip(columns, ("doc_id", "sum", "low", "size")):
                 column.append(batch[name])
@@ -182,37 +187,42 @@ def _spools(batches: Iterator[pa.RecordBatch], budget: induction.Budget):
                 at += len(raw) + 1
         text = budget.array(at, np.uint8)
         spool.seek(0)
-        for k in range(0, at, 1 << 22):
-            piece = spool.read(1 << 22)
+        for k in range(0, at, 1 << 20):
+            piece = spool.read(1 << 20)
             text[k : k + len(piece)] = np.frombuffer(piece, np.uint8)
     return columns, np.array(starts, np.int64), text
 
 
+def _runs(mask: np.ndarray, starts: np.ndarray, n: int, length: int, budget: induction.Budget) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """(row, first, past) of runs of marked windows; a match across a break isn't one of windows."""
+    last = np.append(starts[1:], n) - 1 - length  # of each row's windows
+    for part in budget.parts(n):
+        at = np.flatnonzero(mask[part]) + part.start
+        row = np.searchsorted(starts, at, side="right") - 1
+        at, row = at[ok := at <= last[row]], row[ok]
+        if len(at):
+            # Runs that a block cuts give two spans that touch.
+            new = np.flatnonzero(np.concatenate(([True], (at[1:] != at[:-1] + 1) | (row[1:] != row[:-1]))))
+            yield row[new], at[new], at[np.append(new[1:], len(at)) - 1] + 1
+
+
 def _sorted_out(rows: DataFrame, length: int, budget_args: tuple) -> DataFrame:
     """Spans (doc_id, sum, start, stop) of repeated windows among contexts."""
 
     def order(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         budget = induction.Budget(*budget_args)
-        columns, starts, text = _spools(batches, budget)
-        if not len(starts):
+        try:
+            columns, starts, text = _spools(batches, budget)
+            if not len(starts):
+                return
+            mask = induction.repeated(text, length, budget)
+            ids, sums, low = (pa.chunked_array(c).combine_chunks() for c in columns[:3])
+            low = low.to_numpy()
+            for row, first, past in _runs(mask, starts, len(text), length, budget):
+                pick, base = pa.array(row), low[row] - starts[row]
+                yield pa.RecordBatch.from_arrays([ids.take(pick), sums.take(pick), pa.array(base + first), pa.array(base + past - 1 + length)], ["doc_id", "sum", "start", "stop"])
+        finally:
             budget.close()
-            return
-        mask = induction.repeated(text, length, budget)
-        # A match across a break isn't one of windows.
-        size = np.diff(np.append(starts, len(text))) - 1
-        inside = np.zeros(len(text) + 1, np.int8)
-        inside[starts] += 1
-        inside[starts + size - length + 1] -= 1
-        mask &= np.cumsum(inside[:-1], dtype=np.int8).view(np.bool_)
-        edge = np.flatnonzero(np.diff(np.concatenate(([0], mask.view(np.int8), [0]))))
-        first, past = edge[::2], edge[1::2]
-        row = np.searchsorted(starts, first, side="right") - 1
-        ids, sums, low = (pa.chunked_array(c).combine_chunks() for c in columns[:3])
-        base = low.to_numpy()[row] - starts[row]
-        for k in range(0, len(row), 65536):
-            s = slice(k, k + 65536)
-            pick = pa.array(row[s])
-            yield pa.RecordBatch.from_arrays([ids.take(pick), sums.take(pick), pa.array(base[s] + first[s]), pa.array(base[s] + past[s] - 1 + length)], ["doc_id", "sum", "start", "stop"])
 
     return rows.transform(common.in_arrow, order, "doc_id long, sum long, start long, stop long")
 
@@ -244,7 +254,7 @@ def _same(a: DataFrame, b: DataFrame, how: str) -> DataFrame:
     return joined if how in ("left_semi", "left_anti") else joined.drop("id_b", "sum_b")
 
 
-def spans(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, hot_contexts: int = HOT_CONTEXTS, bloom_bits: int = BLOOM_BITS, budget: tuple = ()) -> DataFrame:
+def spans(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, hot_contexts: int = HOT_CONTEXTS, bloom_bits: int = BLOOM_BITS, shard_bytes: int = SHARD_BYTES, budget: tuple = ()) -> DataFrame:
     """(doc_id, sum, found): byte ranges to remove, of the documents that have any.
 
     ``docs`` has doc_id, text (no nulls) and sum, a hash of the text.
@@ -252,6 +262,7 @@ def spans(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, hot_contexts:
     grams = common.written(_gram_counts(docs, length, gram), "grams")
     bloom = Bloom.of(grams, grams.count(), bloom_bits)
     context = common.written(_contexts(docs, bloom, length, gram).join(grams, "gram", "left_semi"), "contexts")
+    common.dropped(grams)
     each = context.groupBy("gram", "context").agg(F.count(F.lit(1)).alias("n"), F.min_by(F.struct("doc_id", "sum", "low", "size"), "low").alias("one"))
     each = common.written(each, "each")
     copied = context.join(each.where("n > 1").select("gram", "context"), ["gram", "context"]).select("doc_id", "sum", F.col("low").alias("start"), (F.col("low") + F.col("size")).alias("stop"))
@@ -259,8 +270,7 @@ def spans(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, hot_contexts:
     need = each.join(several, "gram").select("gram", "distinct", "one.*")
     # One document's contexts: as many as its own length allows.
     wanted = common.written(need.groupBy("doc_id", "sum").agg(F.collect_list(F.struct("gram", "distinct", "low", "size")).alias("wanted")), "wanted")
-    # Only these documents' texts are shuffled, where their ids are few enough to be sent round.
-    asked = _same(docs.select("doc_id", "text", "sum"), common.small(wanted.select("doc_id", "sum")), "left_semi")
+    asked, _ = common.sifted(docs.select("doc_id", "text", "sum"), F.struct("doc_id", "sum"), wanted, F.struct("doc_id", "sum"))
     held = _same(asked, wanted, "inner").select("doc_id", "sum", "text", "wanted")
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -278,23 +288,22 @@ def spans(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, hot_contexts:
                 )
 
     cuts = common.written(held.transform(common.in_arrow, cut, "doc_id long, sum long, gram long, distinct long, low long, size int, raw binary"), "cuts")
-    parts = docs.sparkSession.conf.get("spark.sql.shuffle.partitions")
-    usual = _sorted_out(cuts.where(F.col("distinct") <= hot_contexts).repartition(int(parts), "gram"), length, budget)
-    found = copied.unionByName(usual)
     hot = cuts.where(F.col("distinct") > hot_contexts)
+    usual = cuts.where(F.col("distinct") <= hot_contexts)
+    asked_bytes = usual.agg(F.sum("size")).first()[0] or 0
+    shards = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-asked_bytes // shard_bytes))
+    found = copied.unionByName(_sorted_out(usual.repartition(shards, "gram"), length, budget))
     if common.has_rows(hot):
         found = found.unionByName(_counted(hot, length))
-    return common.written(found.groupBy("doc_id", "sum").agg(F.collect_set(F.struct("start", "stop")).alias("found")), "spans")
+    out = common.written(found.groupBy("doc_id", "sum").agg(F.collect_set(F.struct("start", "stop")).alias("found")), "spans")
+    common.dropped(context, each, wanted, cuts)
+    return out
 
 
 def _with_spans(docs: DataFrame, found: DataFrame) -> DataFrame:
     """``docs`` (with doc_id and sum) and ``found``, null where a document has none."""
-    ids = found.select("doc_id", "sum")
-    if ids.count() > common.BROADCAST_ROWS:
-        return _same(docs, found, "left")
-    # Few documents have spans: the texts of all others stay where they are.
-    touched = _same(_same(docs, F.broadcast(ids), "left_semi"), found, "inner")
-    return touched.unionByName(_same(docs, F.broadcast(ids), "left_anti"), allowMissingColumns=True)
+    touched, rest = common.sifted(docs, F.struct("doc_id", "sum"), found, F.struct("doc_id", "sum"))
+    return _same(touched, found, "left").unionByName(rest, allowMissingColumns=True)
 
 
 def _merged(found: list[dict]) -> list[tuple[int, int]]:
@@ -350,14 +359,16 @@ def without_repeats(docs: DataFrame, **options) -> DataFrame:
     A row that loses all its text stays, with an empty one; a null text stays null.
     """
     found = spans(_prepared(docs), **options)
-    keyed = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"), F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(F.coalesce(F.col("text").cast("string"), F.lit(""))).alias("sum"))
-    held = _with_spans(keyed, found).select("row.*", F.col("found").alias("repeats found"))
-    place, shape = docs.columns.index("text"), docs.schema
+    names, plain = docs.columns, common.numbered(docs)
+    doc_id, text = (F.col(f"c{names.index(c)}") for c in ("doc_id", "text"))
+    keyed = plain.select("*", doc_id.cast("long").alias("doc_id"), F.xxhash64(F.coalesce(text.cast("string"), F.lit(""))).alias("sum"))
+    held = _with_spans(keyed, found).select(*plain.columns, "found").toDF(*names, "found")
+    place = names.index("text")
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts = batch["text"].to_pylist()
-            for k, ranges in enumerate(batch["repeats found"].to_pylist()):
+            texts = batch.column(place).to_pylist()
+            for k, ranges in enumerate(batch.column(len(names)).to_pylist()):
                 if ranges:
                     raw, left, at = texts[k].encode(), [], 0
                     for a, b in _merged(ranges):
@@ -365,11 +376,11 @@ def without_repeats(docs: DataFrame, **options) -> DataFrame:
                         at = b
                     left.append(raw[at:])
                     texts[k] = b"".join(left).decode("utf-8", "ignore")
-            columns = list(batch.columns)[:-1]
+            columns = list(batch.columns)
             columns[place] = pa.array(texts, pa.string())
-            yield pa.RecordBatch.from_arrays(columns, batch.schema.names[:-1])
+            yield pa.RecordBatch.from_arrays(columns, batch.schema.names)
 
-    return held.transform(common.in_arrow, cut, shape)
+    return common.without_last(common.kept_columns(held, cut))
 
 
 def op8_suffix(spark: SparkSession, sf_dir: str) -> DataFrame:

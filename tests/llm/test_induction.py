@@ -48,3 +48,42 @@ def test_external_sort_equals_sort():
     budget = Budget(64, 64, 16)
     assert np.array_equal(key[external_argsort(key, budget)], np.sort(key))
     budget.close()
+
+
+MEASURE = """
+import random, threading, time
+import numpy as np
+from lantern.llm.induction import Budget, repeated
+
+def held():
+    return next(int(line.split()[1]) for line in open("/proc/self/status") if line.startswith("RssAnon")) / 1024
+
+r = random.Random(5)
+words = ["".join(r.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(r.randint(2, 9))) for _ in range(5000)]
+part = " ".join(r.choice(words) for _ in range(400_000)).encode()
+text = np.frombuffer((part + part[: len(part) // 3] + " ".join(r.choice(words) for _ in range(2_300_000)).encode())[: 16 << 20], np.uint8)
+del part
+base, most, on = held(), 0, True
+
+def watch():
+    global most
+    while on:
+        most = max(most, held())
+        time.sleep(0.01)
+
+t = threading.Thread(target=watch)
+t.start()
+found = int(repeated(text, 200, Budget(2 << 20, 2 << 20, 1 << 16)).sum())
+on = False
+t.join()
+print(len(text), found, most - base)
+"""
+
+
+def test_memory_follows_the_budget_and_not_the_string():
+    import subprocess
+    import sys
+
+    n, found, grown = subprocess.run([sys.executable, "-c", MEASURE], capture_output=True, text=True, check=True, cwd=__file__.rsplit("/tests/", 1)[0]).stdout.split()
+    # 15 bytes for each of the string's would be 240 MB.
+    assert int(n) == 16 << 20 and int(found) > 800_000 and float(grown) < 90

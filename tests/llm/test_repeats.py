@@ -43,10 +43,10 @@ def corpus(seed, unit):
     return rows
 
 
-@pytest.mark.parametrize("length,gram,more", [(20, 6, {}), (20, 6, {"hot_contexts": 2}), (20, 6, {"few": 0}), (20, 6, {"bloom_bits": 1024, "budget": (64, 32, 16)}), (200, 48, {})])
+@pytest.mark.parametrize("length,gram,more", [(20, 6, {}), (20, 6, {"hot_contexts": 2}), (20, 6, {"bitmap": 1, "shard_bytes": 300}), (20, 6, {"bloom_bits": 1024, "budget": (64, 32, 16)}), (200, 48, {})])
 def test_matches_brute_force(spark, length, gram, more, monkeypatch):
     more = dict(more)
-    monkeypatch.setattr(common, "BROADCAST_ROWS", more.pop("few", common.BROADCAST_ROWS))
+    monkeypatch.setattr(common, "FILTER_ROWS", more.pop("bitmap", common.FILTER_ROWS))
     rows = corpus(length, length)
     df = spark.createDataFrame([(d, t, "s", 1, 0.5) for d, t in rows], SCHEMA)
     got = sorted((tuple(r) for r in repeats.remove_repeats(df, length=length, gram=gram, **more).collect()), key=repr)
