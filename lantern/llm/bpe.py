@@ -1,14 +1,23 @@
 """Byte-level BPE encoding and decoding with overlapping chunks.
 
-A text up to ``chunk_chars`` characters is encoded in the task that reads it.
-A longer text is cut into chunks that overlap by ``overlap`` characters; every
-chunk is pre-tokenised on its own, in parallel, from a start that need not be a
-true boundary.  The pre-tokeniser has no memory besides its position, so the
-first position where the boundaries of two neighbouring chunks agree is a place
-where they have resynchronised, and all later boundaries agree too.  Texts are
-cut at those places and the pieces encoded in parallel.  Where an overlap holds
-no such place (one endless word or blank run), the chunk before is continued
-into the next one, so the result never depends on the chunking.
+A text is cut into chunks of ``chunk_chars`` characters that overlap by
+``overlap``; one of a single chunk is encoded in the task that reads it.  Longer
+texts' chunks are spread over tasks:
+
+1. Every chunk is pre-tokenised on its own, from a start that need not be a true
+   boundary.  The pre-tokeniser has no memory besides its position, so the first
+   place in an overlap where the boundaries of both chunks agree is one where
+   they have resynchronised, and all later boundaries agree too.  (Places after
+   blanks are passed over: how blanks are split depends on what follows them.)
+2. Texts are cut at these places.  Each piece is a row of its own and pieces are
+   encoded in parallel, wherever their chunk lies; only ids come back together,
+   in order, for the digests.
+3. An overlap without such a place (one endless word or run of blanks) joins its
+   two chunks in one piece, and chunking resumes at the next overlap.  There the
+   chunks may agree with each other though neither has met the true boundaries,
+   so a joined piece's end is verified by pre-tokenising it from its true start;
+   should that fail, the text is encoded as one.  The result never depends on
+   the chunking.
 
 Defined results: a null text counts as empty; an empty text has no ids; equal
 rows give equal results, and repeated doc_id rows each give a row of their own;
@@ -22,14 +31,15 @@ import hashlib
 import json
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from lantern.llm import common
 
-CHUNK_CHARS = 1 << 16
-OVERLAP = 1 << 12
+CHUNK_CHARS = 1 << 14
+OVERLAP = 1 << 10
 SLICE_TEXTS = 256
 #: Characters at a chunk's end whose boundaries may change with the text after them.
 _EDGE = 2
@@ -98,8 +108,6 @@ class Codec:
 
     def ids(self, text: str):
         """Token ids as little-endian unsigned 32-bit integers."""
-        import numpy as np
-
         if not text:
             return np.zeros(0, "<u4")
         try:
@@ -112,8 +120,6 @@ class Codec:
 
     def ids_with_added(self, text: str):
         """As :meth:`ids`, but an added token's literal is its id, and the texts between are encoded each on its own."""
-        import numpy as np
-
         found = list(self.literals.finditer(text)) if self.literals and text else []
         if not found:
             return self.ids(text)
@@ -130,12 +136,6 @@ class Codec:
         return [base + m.start() for m in self.splitter.finditer(text)]
 
 
-def first_common(left: list[int], right: list[int], low: int, high: int) -> int:
-    """The smallest number in both ascending lists within [low, high), or -1."""
-    among = {x for x in left if low <= x < high}
-    return next((x for x in right if x in among), -1)
-
-
 def _digest(codec: Codec, ids) -> tuple[int, str, str]:
     raw = codec.decode(ids)
     return len(ids), hashlib.sha256(ids.tobytes()).hexdigest(), hashlib.sha256(raw).hexdigest()
@@ -151,7 +151,7 @@ def encode(docs: DataFrame, path: str | None = None, id_col: str = "doc_id", tex
     ``keep_ids``, ids (binary, little-endian unsigned 32-bit).
     """
     path = path or common.tokenizer_path("byte_bpe_50k.tiktoken")
-    rows = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
+    rows = docs.select(F.col(common.quoted(id_col)).alias("id"), F.coalesce(F.col(common.quoted(text_col)).cast("string"), F.lit("")).alias("text"))
     more = ", ids binary" if keep_ids else ""
     schema = f"id {docs.schema[id_col].dataType.simpleString()}, {DIGEST}{more}"
 
@@ -181,56 +181,99 @@ def _batch(ids: pa.Array, out: list[list], keep_ids: bool) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays(columns, names)
 
 
-def _encode_long(rows: DataFrame, path: str, schema: str, keep_ids: bool, size: int, overlap: int) -> DataFrame:
-    """The chunked way: pre-tokenise, stitch, encode the pieces, concatenate."""
-    # The hash tells apart rows that repeat a doc_id with another text; rows equal in both share their chunks.
-    keyed = rows.groupBy("id", F.sha2("text", 256).alias("sha")).agg(F.count(F.lit(1)).alias("copies"), F.any_value("text").alias("text"))
-    cut = keyed.select("id", "sha", "copies", "text", F.explode(F.expr(f"sequence(0, int((length(text) - 1) div {size}))")).alias("chunk"))
-    chunks = cut.select("id", "sha", "copies", "chunk", F.expr(f"substring(text, chunk * {size} + 1, {size + overlap})").alias("text"))
+def _chunks(rows: DataFrame, path: str, size: int, overlap: int) -> DataFrame:
+    """(row, id, chunk, text, head, tail): chunks and the boundaries in their overlaps."""
+    kind = rows.schema["id"].dataType.simpleString()
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for k, text in enumerate(batch["text"].to_pylist()):
+                n = -(-len(text) // size)
+                for low in range(0, n, 64):
+                    chunk = range(low, min(n, low + 64))
+                    pick = pa.array([k] * len(chunk))
+                    yield pa.RecordBatch.from_arrays([batch["row"].take(pick), batch["id"].take(pick), pa.array(chunk, pa.int32()), pa.array([text[c * size : c * size + size + overlap] for c in chunk])], ["row", "id", "chunk", "text"])
 
     def boundaries(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         codec = Codec.at(path)
         for batch in batches:
-            for at in range(batch.num_rows):
-                one = batch.slice(at, 1)
-                k, text = one["chunk"][0].as_py(), one["text"][0].as_py()
+            heads, tails = [], []
+            for k, text in zip(batch["chunk"].to_pylist(), batch["text"].to_pylist()):
                 base = k * size
-                starts = codec.starts(text, base)
-                inner = [x for x in starts if x <= base + len(text) - _EDGE]
-                head, tail = [x for x in inner if x < base + overlap], [x for x in inner if x >= base + size]
+                inner = [x for x in codec.starts(text, base) if x <= base + len(text) - _EDGE]
+                # A piece must be split alike without what follows it, and blanks at its end would not be.
+                tail = [x for x in inner if x >= base + size and not text[x - 1 - base].isspace()]
+                heads.append([x for x in inner if x < base + overlap])
                 # A boundary is settled only where the token before it can't grow: the last one of a cut text isn't.
-                yield pa.RecordBatch.from_arrays(
-                    [one["id"], one["sha"], one["copies"], one["chunk"], one["text"], pa.array([head], pa.list_(pa.int64())), pa.array([tail[:-1] if len(text) == size + overlap else tail], pa.list_(pa.int64()))],
-                    ["id", "sha", "copies", "chunk", "text", "head", "tail"],
-                )
+                tails.append([x for x in tail if x < inner[-1]] if len(text) == size + overlap else tail)
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(heads, pa.list_(pa.int64())), pa.array(tails, pa.list_(pa.int64()))], [*batch.schema.names, "head", "tail"])
 
-    kind = schema.split(",")[0]
-    marked = chunks.transform(common.in_arrow, boundaries, f"{kind}, sha string, copies long, chunk int, text string, head array<long>, tail array<long>")
+    plain = f"row long, id {kind}, chunk int, text string"
+    spread = rows.withColumn("row", F.monotonically_increasing_id()).transform(common.in_arrow, cut, plain).repartition("row", "chunk")
+    return spread.transform(common.in_arrow, boundaries, plain + ", head array<long>, tail array<long>")
 
-    def assembled(key: tuple[pa.Scalar, ...], chunk_table: pa.Table) -> pa.Table:
-        # One document's chunks: as large as the document, which one row holds anyway.
+
+def _pieces(chunks: DataFrame, size: int) -> DataFrame:
+    """Adds to each chunk its piece, how many chunks that has, and which characters of the chunk are the piece's."""
+    by_row = Window.partitionBy("row").orderBy("chunk")
+    # Boundaries alone are brought together by text; the chunks' texts stay.
+    met = chunks.select("row", "chunk", "head", "tail").withColumn("next", F.lead("head").over(by_row))
+    stops = met.select("row", "chunk", F.col("next").isNull().alias("last"), F.array_min(F.array_intersect("tail", "next")).alias("stop"))
+    before = by_row.rowsBetween(Window.unboundedPreceding, -1)
+    placed = stops.select("row", "chunk", "last", "stop", F.coalesce(F.count("stop").over(before), F.lit(0)).alias("piece"), F.coalesce(F.max("stop").over(before), F.lit(0)).alias("start"))
+    placed = placed.withColumn("of", F.count(F.lit(1)).over(Window.partitionBy("row", "piece")))
+    base = F.col("chunk") * F.lit(size).cast("long")
+    low = F.greatest("start", base) - base
+    high = F.when(F.col("last"), F.lit(None)).otherwise(F.coalesce("stop", base + size) - base)
+    return chunks.drop("head", "tail").join(placed.select("row", "chunk", "piece", "of", low.cast("int").alias("low"), high.cast("int").alias("high")), ["row", "chunk"])
+
+
+def _encode_long(rows: DataFrame, path: str, schema: str, keep_ids: bool, size: int, overlap: int) -> DataFrame:
+    """The chunked way: pre-tokenise, stitch, encode the pieces, concatenate."""
+    kind = rows.schema["id"].dataType.simpleString()
+    pieces = common.written(_pieces(common.written(_chunks(rows, path, size, overlap), "chunks"), size), "text-pieces")
+    shape = f"row long, id {kind}, piece long, good boolean, ids binary"
+
+    def alone(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         codec = Codec.at(path)
-        got = chunk_table.sort_by("chunk")
-        texts, heads, tails = got["text"].to_pylist(), got["head"].to_pylist(), got["tail"].to_pylist()
-        import numpy as np
-
-        parts, at, pending = [], 0, ""
-        for k, text in enumerate(texts):
-            base, own = k * size, text[:size] if k + 1 < len(texts) else text
-            stop = first_common(tails[k], heads[k + 1], base + size, base + size + overlap) if k + 1 < len(texts) else -1
-            if k + 1 == len(texts):
-                parts.append(codec.ids(pending + own[at - base :] if at >= base else pending + own))
-            elif stop < 0 or pending:  # no common boundary, or one known from an unsettled start: go on from here
-                pending, at = pending + (own[at - base :] if at >= base else own), base + size
-            else:
-                parts.append(codec.ids(text[at - base : stop - base]))
-                at = stop
-        ids = np.concatenate(parts) if parts else np.zeros(0, "<u4")
-        n, copies = _digest(codec, ids), got["copies"][0].as_py()
-        rows_out = [[x] * copies for x in (*n, ids.tobytes())]
-        return pa.Table.from_batches([_batch(pa.array([got["id"][0].as_py()] * copies, got.schema.field("id").type), rows_out, keep_ids)])
-
-    return marked.groupBy("id", "sha").applyInArrow(assembled, schema)
+        for batch in batches:
+            for at in range(0, batch.num_rows, 64):
+                part = batch.slice(at, 64)
+                ids = [codec.ids(t[a:b]).tobytes() for t, a, b in zip(*(part[c].to_pylist() for c in ("text", "low", "high")))]
+                yield pa.RecordBatch.from_arrays([part["row"], part["id"], part["piece"], pa.array([True] * len(ids)), pa.array(ids, pa.binary())], ["row", "id", "piece", "good", "ids"])
+
+    def united(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
+        # As many chunks as one run without a common boundary covers.
+        codec, got = Codec.at(path), table.sort_by("chunk").to_pylist()
+        text, ahead, end = "".join(x["text"][x["low"] : x["high"]] for x in got), "", got[-1]["high"]
+        if end is not None:
+            ahead = got[-1]["text"][end:]
+        good = not ahead or any(m.start() == len(text) for m in codec.splitter.finditer(text + ahead))
+        return pa.table([pa.array([x], t) for x, t in ((got[0]["row"], pa.int64()), (got[0]["id"], table.schema.field("id").type), (got[0]["piece"], pa.int64()), (good, pa.bool_()), (codec.ids(text).tobytes(), pa.binary()))], ["row", "id", "piece", "good", "ids"])
+
+    single = pieces.where("of = 1").transform(common.in_arrow, alone, shape)
+    several = common.written(pieces.where("of > 1").groupBy("row", "piece").applyInArrow(united, shape), "joined-pieces")
+    encoded = single.unionByName(several)
+    bad = several.where("not good").select("row").distinct()
+    if common.has_rows(bad):
+        whole = pieces.join(bad, "row").withColumn("high", F.when(F.col("chunk") == F.max("chunk").over(Window.partitionBy("row")), F.lit(None)).otherwise(F.lit(size)).cast("int"))
+        whole = whole.withColumn("low", F.lit(0)).withColumn("piece", F.lit(0).cast("long"))
+        encoded = encoded.join(bad, "row", "left_anti").unionByName(whole.groupBy("row", "piece").applyInArrow(united, shape))
+
+    def gathered(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
+        # One text's ids: about as large as the text, which one row holds anyway.
+        codec, n, ids_sum, raw_sum, kept = Codec.at(path), 0, hashlib.sha256(), hashlib.sha256(), []
+        got = table.sort_by("piece")
+        for raw in got["ids"].to_pylist():
+            ids = np.frombuffer(raw, "<u4")
+            n += len(ids)
+            ids_sum.update(raw)
+            raw_sum.update(codec.decode(ids))
+            if keep_ids:
+                kept.append(raw)
+        return pa.Table.from_batches([_batch(got["id"].combine_chunks().slice(0, 1), [[n], [ids_sum.hexdigest()], [raw_sum.hexdigest()], [b"".join(kept)]], keep_ids)])
+
+    return encoded.drop("good").groupBy("row").applyInArrow(gathered, schema)
 
 
 def decode(encoded: DataFrame, path: str | None = None, id_col: str = "doc_id") -> DataFrame:
@@ -238,8 +281,6 @@ def decode(encoded: DataFrame, path: str | None = None, id_col: str = "doc_id")
     path = path or common.tokenizer_path("byte_bpe_50k.tiktoken")
 
     def back(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        import numpy as np
-
         codec = Codec.at(path)
         for batch in batches:
             raw = [codec.decode(np.frombuffer(x or b"", "<u4")) for x in batch["ids"].to_pylist()]

@@ -36,6 +36,28 @@ def test_chunked_encoding_equals_whole_encoding(docs, size, overlap):
     assert got == sorted((r.doc_id, *expected(r.text)) for r in docs.collect())
 
 
+@pytest.mark.parametrize("seed", range(4))
+def test_chunks_of_blanks_runs_and_contractions(spark, seed):
+    r = random.Random(seed)
+    bits = [" \n", "\n\n", "  ", " ", "\t", "x", "word", "it's", "'re", "'", "12", "!?", "é", "z" * 50, " " * 40, "7" * 45, "\u00a0", "\x1d"]
+    texts = ["".join(r.choice(bits) for _ in range(r.randint(0, 150))) for _ in range(60)]
+    rows = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    for size, overlap in ((32, 8), (64, 20)):
+        got = {x.doc_id: x.ids_sha256 for x in bpe.encode(rows, chunk_chars=size, overlap=overlap).collect()}
+        assert got == {d: expected(t)[1] for d, t in enumerate(texts)}
+
+
+def test_a_run_over_an_overlap_leaves_the_other_pieces(spark):
+    words = "some words of a text, " * 400
+    rows = spark.createDataFrame([(1, words + "z" * 900 + " " + words), (2, words * 2)], "id long, text string").withColumnRenamed("id", "key")
+    cut = bpe._pieces(common.written(bpe._chunks(rows.withColumnRenamed("key", "id"), common.tokenizer_path("byte_bpe_50k.tiktoken"), 1000, 100), "t"), 1000)
+    sizes = [r.of for r in cut.where("id = 1").orderBy("chunk").collect()]
+    assert len(sizes) == 19 and max(sizes) <= 3 and sizes.count(1) >= 16
+    assert {r.of for r in cut.where("id = 2").collect()} == {1}
+    got = bpe.encode(rows, id_col="key", chunk_chars=1000, overlap=100)
+    assert {r.key: r.ids_sha256 for r in got.collect()} == {r.key: expected(r.text)[1] for r in rows.collect()}
+
+
 def test_round_trip(docs):
     encoded = bpe.encode(docs, keep_ids=True)
     back = sorted((r.doc_id, bytes(r.raw)) for r in bpe.decode(encoded).collect())
@@ -49,7 +71,6 @@ def test_both_vocabulary_files_give_the_same_ranks():
 
 def test_pieces_match_the_tokenizers_library(docs):
     reference = Tokenizer.from_file(common.tokenizer_path("byte_bpe_50k.json"))
-    reference.encode_special_tokens = True
     want = []
     for r in docs.collect():
         ids, start, k = [*reference.encode(r.text or "", add_special_tokens=False).ids, 0], 0, 0
