@@ -408,32 +408,41 @@ def personal_data(docs: DataFrame) -> DataFrame:
     return rows.transform(common.in_arrow, find, "doc_id long, n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, spans string, n_added long")
 
 
+def runs(spans: list[tuple[str, int, int]]) -> list[tuple[str, int, int]]:
+    """Maximal runs of overlapping spans, in order; a run's kind is that of its first span (of the longest of those)."""
+    out: list[tuple[str, int, int]] = []
+    for kind, a, b in sorted(spans, key=lambda s: (s[1], -s[2], KINDS.index(s[0]))):
+        if out and a < out[-1][2]:
+            out[-1] = (*out[-1][:2], max(out[-1][2], b))
+        else:
+            out.append((kind, a, b))
+    return out
+
+
+def marked(text: str, spans: list[tuple[str, int, int]]) -> str:
+    """``text`` with each run of spans replaced by a mark: no character that any span covers is left."""
+    parts, at = [], 0
+    for kind, a, b in runs(spans):
+        parts += [text[at:a], f"[{kind.upper()}]"]
+        at = b
+    return "".join([*parts, text[at:]])
+
+
 def redacted(docs: DataFrame, text_col: str = "text") -> DataFrame:
-    """``docs`` with every span in ``text_col`` replaced by its kind in brackets."""
+    """``docs`` with every run of spans in ``text_col`` replaced by its kind in brackets.
+
+    Null and empty texts stay as they are, and so do all other columns, whatever their names.
+    """
     weights = trained()
     place = docs.columns.index(text_col)
 
     def clean(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts = []
-            for text in batch[text_col].to_pylist():
-                if text:
-                    _, whole = all_spans(text, weights)
-                    end, parts = len(text), []
-                    for kind, a, b in sorted(whole, key=lambda s: (s[1], s[2]), reverse=True):
-                        if b <= end:
-                            parts += [text[b:end], f"[{kind.upper()}]"]
-                            end = a
-                        elif a < end:  # kinds of base spans may overlap: one mark for both
-                            parts[-1:] = [f"[{kind.upper()}]"]
-                            end = a
-                    text = text[:end] + "".join(reversed(parts))
-                texts.append(text)
             columns = list(batch.columns)
-            columns[place] = pa.array(texts, pa.string())
+            columns[place] = pa.array([marked(t, all_spans(t, weights)[1]) if t else t for t in batch.column(place).to_pylist()], pa.string())
             yield pa.RecordBatch.from_arrays(columns, batch.schema.names)
 
-    return docs.transform(common.in_arrow, clean, docs.schema)
+    return common.kept_columns(docs, clean)
 
 
 def op2_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
