@@ -19,6 +19,7 @@ FILTER_ROWS = 1 << 19
 
 _own: dict[str, str] = {}
 _places: WeakKeyDictionary[DataFrame, str] = WeakKeyDictionary()
+_made: list[str] = []
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -51,9 +52,10 @@ def written(df: DataFrame, label: str) -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{TABLE_FOLDER}/{label}-{uuid.uuid4().hex}"
     schema = df.schema
-    df.write.parquet(path)
+    df.write.option("compression", "zstd").parquet(path)
     out = spark.read.schema(schema).parquet(path)
     _places[out] = path
+    _made.append(path)
     return out
 
 
@@ -62,6 +64,20 @@ def dropped(*tables: DataFrame) -> None:
     for df in tables:
         if (place := _places.pop(df, None)) is not None:
             _removed(df.sparkSession, place)
+            if place in _made:
+                _made.remove(place)
+
+
+def sweeper(spark: SparkSession) -> Callable[[], None]:
+    """A call of the result removes all tables that :func:`written` made since, but for the last one."""
+    start = len(_made)
+
+    def sweep() -> None:
+        for place in _made[start:-1]:
+            _removed(spark, place)
+        del _made[start:-1]
+
+    return sweep
 
 
 def _removed(spark: SparkSession, place: str) -> None:
@@ -72,6 +88,7 @@ def _removed(spark: SparkSession, place: str) -> None:
 def clear_tables(spark: SparkSession) -> None:
     """Remove every table that :func:`written` left in the shared folder."""
     _removed(spark, f"{shared_dir(spark)}/{TABLE_FOLDER}")
+    _made.clear()
 
 
 def has_rows(df: DataFrame) -> bool:

@@ -71,7 +71,7 @@ def test_checksums_match_the_plain_definition():
 def test_table(spark):
     texts = ["Hello " * 400, "", None, "x" * 576, "x" * 577, "é" * 288, "same", "same"]
     df = spark.createDataFrame([(i, t, "m", 1) for i, t in enumerate(texts)], SCHEMA)
-    got = {r.doc_id: r for r in media.digests(media.stored(df)).collect()}
+    got = {r.doc_id: r for r in media.digests(media.pcm(media.stored(df))).collect()}
     for i, t in enumerate(texts):
         p = media.payload(t)
         assert (got[i].n_bytes, got[i].payload_bytes) == (len((t or "").encode()), len(p))
@@ -80,4 +80,4 @@ def test_table(spark):
     assert got[6][1:] == got[7][1:]
     blocks = media.pcm_blocks(media.stored(df.where("doc_id = 0"))).orderBy("block").collect()
     assert b"".join(bytes(b.pcm) for b in blocks) == media.payload(texts[0]) and [b.sample_offset for b in blocks] == [576 * b.block for b in blocks]
-    assert media.digests(media.stored(df.limit(0))).count() == 0
+    assert media.digests(media.pcm(media.stored(df.limit(0)))).count() == 0
