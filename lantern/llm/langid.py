@@ -111,27 +111,40 @@ def fit(labelled: DataFrame, sample: int = SAMPLE, centroids: int = CENTROIDS, d
                 )
 
     kind = rows.schema["doc_id"].dataType.simpleString()
-    got = rows.transform(common.in_arrow, sparse, f"doc_id {kind}, lang string, place binary, tf binary").collect()
-    got.sort(key=lambda r: (r.lang, str(r.doc_id), bytes(r.place), bytes(r.tf)))
-    tf = np.zeros((len(got), dimensions), np.float32)
-    for k, r in enumerate(got):
-        tf[k, np.frombuffer(r.place, "<i4")] = np.frombuffer(r.tf, "<f4")
-    return _fitted(tf, [r.lang for r in got], centroids)
-
-
-def _fitted(tf: np.ndarray, names: list[str], centroids: int) -> dict:
-    dimensions = tf.shape[1]
-    if not names:
-        return {"langs": [], "idf": np.zeros(dimensions, np.float32), "centres": np.zeros((0, dimensions), np.float32), "of": np.zeros(0, int), "least": np.zeros(0)}
-    idf = (np.log((1 + len(names)) / (1 + (tf > 0).sum(axis=0))) + 0.05).astype(np.float32)
-    x, langs = weighted(tf, idf), sorted(set(names))
-    own = np.array([langs.index(n) for n in names])
-    parts = [_spherical(x[own == k], centroids) for k in range(len(langs))]
-    of = np.concatenate([np.full(len(p), k) for k, p in enumerate(parts)])
-    centres = np.concatenate(parts).astype(np.float32)
-    cosine = x @ centres.T
-    near = np.array([np.quantile(cosine[own == k][:, of == k].max(axis=1), 0.02) for k in range(len(langs))])
-    return {"langs": langs, "idf": idf, "centres": centres, "of": of, "least": near * REJECT}
+    held = common.written(rows.transform(common.in_arrow, sparse, f"doc_id {kind}, lang string, place binary, tf binary"), "sparse")
+
+    def present(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        n, own = 0, np.zeros(dimensions, np.int64)
+        for batch in batches:
+            n += batch.num_rows
+            for raw in batch["place"].to_pylist():
+                own[np.frombuffer(raw, "<i4")] += 1
+        yield pa.RecordBatch.from_arrays([pa.array(np.arange(-1, dimensions)), pa.array(np.append(n, own))], ["slot", "n"])
+
+    # As many rows as there are dimensions; slot -1 counts texts.
+    counted = held.transform(common.in_arrow, present, "slot long, n long").groupBy("slot").agg(F.sum("n").alias("n")).collect()
+    seen = np.zeros(dimensions + 1, np.int64)
+    for r in counted:
+        seen[r.slot] = r.n
+    idf = (np.log((1 + seen[-1]) / (1 + seen[:-1])) + 0.05).astype(np.float32)
+
+    def cluster(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
+        # At most ``sample`` rows.
+        got = sorted(table.to_pylist(), key=lambda r: (str(r["doc_id"]), r["place"], r["tf"]))
+        tf = np.zeros((len(got), dimensions), np.float32)
+        for k, r in enumerate(got):
+            tf[k, np.frombuffer(r["place"], "<i4")] = np.frombuffer(r["tf"], "<f4")
+        x = weighted(tf, idf)
+        centres = _spherical(x, centroids).astype(np.float32)
+        near = float(np.quantile((x @ centres.T).max(axis=1), 0.02))
+        return pa.table({"lang": [key[0].as_py()] * len(centres), "k": pa.array(range(len(centres)), pa.int32()), "centre": [c.tobytes() for c in centres], "near": [near] * len(centres)})
+
+    # A language is a few centroids of fixed size; its texts stay with the executors.
+    got = sorted(held.groupBy("lang").applyInArrow(cluster, "lang string, k int, centre binary, near double").collect(), key=lambda r: (r.lang, r.k))
+    langs = sorted({r.lang for r in got})
+    centres = np.array([np.frombuffer(r.centre, "<f4") for r in got], np.float32).reshape(-1, dimensions)
+    nearest = {r.lang: r.near for r in got}
+    return {"langs": langs, "idf": idf, "centres": centres, "of": np.array([langs.index(r.lang) for r in got], int), "least": np.array([nearest[n] for n in langs]) * REJECT}
 
 
 def predict(texts: list[str | None], model: dict) -> list[tuple[str, float, bool]]:
@@ -150,17 +163,33 @@ def identified(docs: DataFrame, model: dict) -> DataFrame:
     """``docs`` with lang_pred, score and rejected added (replacing such names)."""
     kept = docs.drop("lang_pred", "score", "rejected")
     held = docs.sparkSession.sparkContext.broadcast(model)  # its size is fixed by the parameters
+    place, names = kept.columns.index("text"), ["lang_pred", "score", "rejected"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for at in range(0, batch.num_rows, 256):
-                part = batch.slice(at, 256)
-                got = predict(part["text"].to_pylist(), held.value)
-                more = [pa.array([g[c] for g in got], t) for c, t in enumerate((pa.string(), pa.float64(), pa.bool_()))]
-                yield pa.RecordBatch.from_arrays([*part.columns, *more], [*part.schema.names, "lang_pred", "score", "rejected"])
-
-    shape = T.StructType([*kept.schema.fields, T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType()), T.StructField("rejected", T.BooleanType())])
-    return kept.transform(common.in_arrow, run, shape)
+        for part in _slices(batches):
+            got = predict(part.column(place).to_pylist(), held.value)
+            more = [pa.array([g[c] for g in got], t) for c, t in enumerate((pa.string(), pa.float64(), pa.bool_()))]
+            yield pa.RecordBatch.from_arrays([*part.columns, *more], [*part.schema.names, *names])
+
+    return common.kept_columns(kept, run, tuple(T.StructField(n, t) for n, t in zip(names, (T.StringType(), T.DoubleType(), T.BooleanType()))))
+
+
+def accepted(docs: DataFrame, model: dict) -> DataFrame:
+    """The rows of ``docs`` that aren't rejected, with all their columns and no more."""
+    held = docs.sparkSession.sparkContext.broadcast(model)
+    place = docs.columns.index("text")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in _slices(batches):
+            yield part.filter(pa.array([not rejected for _, _, rejected in predict(part.column(place).to_pylist(), held.value)], pa.bool_()))
+
+    return common.kept_columns(docs, run)
+
+
+def _slices(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for at in range(0, batch.num_rows, 256):
+            yield batch.slice(at, 256)
 
 
 def learnable(docs: DataFrame) -> DataFrame:
