@@ -5,8 +5,11 @@ also start elsewhere.  It builds the suffix order by induction:
 
 * suffixes are typed, and the left-most S-type ones (LMS) sorted by substring
   through one round of induction, then named;
-* the reduced string of names is ordered by doubling ranks over an external
-  distribution sort, up to the depth that is asked for;
+* the reduced string of names is ordered by the same induction, recursively
+  (:func:`order_of`).  Its alphabet is large, so tuples (symbol, position) go
+  through a disk-backed priority queue keyed by (symbol, arrival), which hands
+  them out a range of symbols at a time (:class:`Heap`), until what is left to
+  order fits in memory;
 * a second round induces all suffixes from the LMS ones.  Tuples (position,
   common prefix with the one before) travel through one first-in-first-out
   queue for each symbol, which is what a priority queue keyed by (symbol,
@@ -365,25 +368,11 @@ class Suffixes:
         count = len(where)
         if count < 2:
             return where, np.zeros(count, np.uint8)
-        order = self._ordered_substrings(where)
-        rank, names = self._named(where, order)
-        h = 1
-        # An LMS substring spans two symbols at least, so depth // 2 names reach the depth.
-        while h <= self.depth // 2 + 1 and names < count:
-            key = self.budget.array(count, np.int64)
-            for part in self.budget.parts(count):
-                key[part] = rank[part] * (count + 1)
-                more = rank[part.start + h : part.stop + h]
-                key[part.start : part.start + len(more)] += more + 1
-            order = external_argsort(key, self.budget)
-            name = 0
-            for part in self.budget.parts(count - 1):
-                both = order[part.start : part.stop + 1]
-                k = key[both]
-                own = name + np.concatenate(([0], np.cumsum(k[1:] != k[:-1])))
-                rank[both], name = own, int(own[-1])
-            names, h = name + 1, h * 2
+        rank, names = self._named(where, self._ordered_substrings(where))
+        # An LMS substring spans two symbols at least, so so many names reach the depth.
+        order = order_of(rank, names, self.budget, self.depth // 2 + 2)
         seeds = self._filled(count, self.index, (where[order[p]] for p in self.budget.parts(count)))
+        del rank, order
         lcp = self.budget.array(count, np.uint8)
         lcp[0] = 0
         gaps = (int(np.diff(where[p.start : p.stop + 1]).max(initial=0)) for p in self.budget.parts(count))
@@ -391,19 +380,240 @@ class Suffixes:
         probe = self.depth - reach - 8
         for at in range(1, count, self.budget.block):
             stop = min(count, at + self.budget.block)
-            own = rank[order[at - 1 : stop]]
-            # Suffixes that doubling left tied share all names up to the depth.
-            apart = np.flatnonzero(own[1:] != own[:-1]) + at
-            lcp[at:stop] = self.depth
-            a, b = seeds[apart - 1], seeds[apart]
+            a, b = seeds[at - 1 : stop - 1], seeds[at:stop]
             # A suffix lies less than ``reach`` before the LMS one that induces it. Two that differ within the
             # first depth - reach bytes can't bring a pair to the depth, so 0 will do for how far they agree.
             near = np.flatnonzero(words[np.minimum(a + probe, self.n - 1)] == words[np.minimum(b + probe, self.n - 1)]) if probe >= 0 else np.arange(len(a))
-            lcp[apart] = 0
-            lcp[apart[near]] = self.common(a[near], b[near])
+            lcp[at:stop] = 0
+            lcp[at + near] = self.common(a[near], b[near])
         return seeds, lcp
 
 
+class Heap:
+    """A disk-backed priority queue of (key, position), keyed by (key, arrival), emptied a range of keys at a time.
+
+    ``cuts`` part the keys into ranges.  Entries wait in one spilling queue for
+    each group of ranges; those of the group that is being emptied are dealt to
+    its ranges in memory.
+    """
+
+    def __init__(self, cuts: np.ndarray, budget: Budget):
+        self.cuts, self.budget, self.ranges = cuts, budget, len(cuts) + 1
+        self.width = max(1, int(self.ranges**0.5))
+        self.queues = [Queue(budget) for _ in range(-(-self.ranges // self.width))]
+        self.group, self.dealt = -1, {}
+
+    def push(self, keys: np.ndarray, pos: np.ndarray) -> None:
+        if not len(keys):
+            return
+        of = np.searchsorted(self.cuts, keys, side="right")
+        group = of // self.width
+        here = group == self.group
+        if here.any():
+            self._deal(of[here], keys[here], pos[here])
+            keys, pos, group = keys[~here], pos[~here], group[~here]
+        for g, own in _split(group):
+            self.queues[g].push(pos[own], keys[own])
+
+    def _deal(self, of: np.ndarray, keys: np.ndarray, pos: np.ndarray) -> None:
+        for r, own in _split(of):
+            self.dealt.setdefault(r, []).append((keys[own], pos[own]))
+
+    def take(self, r: int) -> tuple[np.ndarray, np.ndarray]:
+        """Keys and positions of range ``r``, in order; ranges are taken in order, and no entry comes to one already taken."""
+        while self.group < r // self.width:
+            self.group += 1
+            while (got := self.queues[self.group].pop()) is not None:
+                self._deal(np.searchsorted(self.cuts, got[1], side="right"), got[1], got[0])
+        held = self.dealt.pop(r, [])
+        if not held:
+            return np.zeros(0, np.int64), np.zeros(0, np.int64)
+        keys, pos = (np.concatenate([h[c] for h in held]) for c in (0, 1))
+        order = np.argsort(keys, kind="stable")
+        return keys[order], pos[order]
+
+
+def _split(of: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
+    """The numbers in ``of`` and where each stands."""
+    order = np.argsort(of, kind="stable")
+    sorted_ = of[order]
+    cut = np.flatnonzero(np.concatenate(([True], sorted_[1:] != sorted_[:-1]))) if len(of) else np.zeros(0, np.int64)
+    for a, b in zip(cut.tolist(), [*cut[1:].tolist(), len(of)]):
+        yield int(sorted_[a]), order[a:b]
+
+
+class _Induction:
+    """Induction over a string of names; keys are 2 * name for L-type suffixes and one more for S-type ones."""
+
+    def __init__(self, text: np.ndarray, budget: Budget):
+        self.text, self.n, self.budget = text, len(text), budget
+        self.is_s = budget.array(self.n, np.bool_)
+        nxt, tail = False, None
+        for part in reversed(list(budget.parts(self.n))):
+            own = np.asarray(text[part])
+            sign = np.sign(np.append(own[1:], own[-1] if tail is None else tail) - own)
+            if tail is None:
+                sign[-1] = -1
+            known = np.where(sign != 0, np.arange(len(own)), len(own))
+            place = np.minimum.accumulate(known[::-1])[::-1]
+            self.is_s[part] = np.where(place < len(own), np.append(sign > 0, nxt)[place], nxt)
+            nxt, tail = bool(self.is_s[part.start]), own[0]
+        # An entry of the L-type pass leads to one of its own range the likelier, the fewer names are left above it,
+        # and of the S-type pass below it: ranges shrink towards that end, so that each meets about one such entry.
+        sample = np.sort(np.asarray(text[:: max(1, self.n // (1 << 18))]))
+        ranges = 2 * max(4, int(self.n**0.5))
+        place = (np.linspace(0, 1, ranges + 1)[1:-1] ** 2 * len(sample)).astype(np.int64)
+        self.rising, self.sinking = np.unique(sample[len(sample) - 1 - place]) * 2, np.unique(sample[place]) * 2
+
+    def lms(self) -> np.ndarray:
+        parts = [np.flatnonzero(self.is_s[p.start + 1 : p.stop + 1] & ~self.is_s[p.start : min(p.stop, self.n - 1)]) + (p.start + 1) for p in self.budget.parts(self.n)]
+        out, at = self.budget.array(sum(map(len, parts)), np.int64), 0
+        for x in parts:
+            out[at : at + len(x)] = x
+            at += len(x)
+        return out
+
+    def _drain(self, keys: np.ndarray, pos: np.ndarray, bound: float, sign: int, heap: Heap) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """Takes entries in order; what they induce below ``bound`` joins them, the rest goes to the heap."""
+        to_s, at = sign < 0, 0
+        while at < len(keys):
+            stop = min(len(keys), at + self.budget.block)
+            before = pos[at:stop] - 1
+            source = np.flatnonzero((before >= 0) & (self.is_s[before] == to_s))
+            target = before[source]
+            key = sign * (2 * self.text[target].astype(np.int64) + to_s)
+            inner = key < bound
+            if inner.any():
+                stop = min(stop, at + int(np.searchsorted(keys[at:], key[inner], side="right").min()))
+            yield keys[at:stop], pos[at:stop]
+            live = source < stop - at
+            heap.push(key[live & ~inner], target[live & ~inner])
+            join = live & inner
+            if join.any():
+                order = np.argsort(key[join], kind="stable")
+                new, keys, pos = key[join][order], keys[stop:], pos[stop:]
+                place = np.searchsorted(keys, new, side="right")
+                keys, pos, at = np.insert(keys, place, new), np.insert(pos, place, target[join][order]), 0
+            else:
+                at = stop
+
+    def _first(self, where: np.ndarray, at: int, key, bound: float) -> int:
+        """The first place from ``at`` on whose key isn't below ``bound``; keys rise along ``where``."""
+        while at < len(where):
+            own = key(np.asarray(where[at : at + self.budget.block]))
+            take = int(np.searchsorted(own, bound, side="left"))
+            at += take
+            if take < len(own):
+                break
+        return at
+
+    def falling(self, seeds: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """All suffixes from the last, in runs (whether S-type, position), from the LMS ones in order."""
+        text, n = self.text, self.n
+        heap = Heap(self.rising, self.budget)
+        heap.push(np.array([2 * int(text[n - 1])]), np.array([n - 1]))
+        count = n - sum(int(np.count_nonzero(self.is_s[p])) for p in self.budget.parts(n))
+        larger, filled, seed = self.budget.array(count, np.int64), 0, 0
+        for r in range(heap.ranges):
+            keys, pos = heap.take(r)
+            bound = heap.cuts[r] if r < len(heap.cuts) else np.inf
+            low, seed = seed, self._first(seeds, seed, lambda x: 2 * text[x] + 1, bound)
+            if seed > low:
+                own = np.asarray(seeds[low:seed]).astype(np.int64)
+                keys, pos = np.concatenate((keys, 2 * text[own] + 1)), np.concatenate((pos, own))
+                order = np.argsort(keys, kind="stable")
+                keys, pos = keys[order], pos[order]
+            for k, p in self._drain(keys, pos, bound, 1, heap):
+                p = p[(k & 1) == 0]
+                larger[filled : filled + len(p)] = p
+                filled += len(p)
+        # Falling keys are negative; a key at a cut belongs to the higher range.
+        heap, back, at = Heap(1 - self.sinking[::-1], self.budget), larger[::-1], 0
+        for r in range(heap.ranges):
+            keys, pos = heap.take(r)
+            bound = heap.cuts[r] if r < len(heap.cuts) else np.inf
+            low, at = at, self._first(back, at, lambda x: -2 * text[x], bound)
+            own = np.asarray(back[low:at])
+            keys, pos = np.concatenate((keys, -2 * text[own])), np.concatenate((pos, own))
+            order = np.argsort(keys, kind="stable")
+            for k, p in self._drain(keys[order], pos[order], bound, -1, heap):
+                yield (k & 1) == 1, p
+
+
+def _within(text: np.ndarray, names: int, most: int) -> np.ndarray:
+    """The suffix order, by ``most`` names at least, of a string that fits in memory: ranks of doubled length, sorted."""
+    n, h, rank = len(text), 1, np.array(text)
+    order = np.argsort(rank, kind="stable")
+    while names < n and h < most:
+        key = rank * (n + 1)
+        key[:-h] += rank[h:] + 1
+        order = np.argsort(key, kind="stable")
+        k = key[order]
+        rank[order] = np.concatenate(([0], np.cumsum(k[1:] != k[:-1])))
+        names, h = int(rank[order[-1]]) + 1, h * 2
+    return order
+
+
+def order_of(text: np.ndarray, names: int, budget: Budget, most: int) -> np.ndarray:
+    """The suffix order, by ``most`` names at least, of a string of ``names`` distinct names 0, 1, ..., by recursive induction.
+
+    The recursion ends with a string that is no larger than the budget's arrays in memory.
+    """
+    n = len(text)
+    if 8 * n <= budget.array_bytes:
+        return _within(text, names, most)
+    out = budget.array(n, np.int64)
+    if names == n:  # no two suffixes begin alike
+        for part in budget.parts(n):
+            out[text[part]] = np.arange(part.start, part.stop)
+        return out
+    s = _Induction(text, budget)
+    where = s.lms()
+    count = len(where)
+    seeds = where
+    if count > 1:
+        number = budget.array(n, np.int64)
+        number[:] = -1
+        symbols = budget.array(count, np.int64)
+        for part in budget.parts(count):
+            number[where[part]] = np.arange(part.start, part.stop)
+            symbols[part] = text[where[part]]
+        first, ordered, at = external_argsort(symbols, budget), budget.array(count, np.int64), count
+        for part in budget.parts(count):
+            symbols[part] = where[first[part]]
+        for is_s, pos in s.falling(symbols):
+            k = number[pos[is_s]]
+            k = k[k >= 0]
+            ordered[at - len(k) : at] = k[::-1]
+            at -= len(k)
+        del number, first, symbols
+        rank, name = budget.array(count, np.int64), 0
+        for part in budget.parts(count - 1):
+            both = np.asarray(ordered[part.start : part.stop + 1])
+            start = where[both]
+            size = np.where(both + 1 < count, where[np.minimum(both + 1, count - 1)], n) - start + 1
+            last = both == count - 1
+            fresh = (size[1:] != size[:-1]) | last[1:] | last[:-1]
+            live, off = np.flatnonzero(~fresh), 0
+            while len(live):
+                differ = text[start[live] + off] != text[start[live + 1] + off]
+                fresh[live[differ]] = True
+                off += 1
+                live = live[~differ & (size[live] > off)]
+            own = name + np.concatenate(([0], np.cumsum(fresh)))
+            rank[both], name = own, int(own[-1])
+        order = order_of(rank, name + 1, budget, most)
+        seeds = budget.array(count, np.int64)
+        for part in budget.parts(count):
+            seeds[part] = where[order[part]]
+        del rank, order, ordered
+    at = n
+    for _, pos in s.falling(seeds):
+        out[at - len(pos) : at] = pos[::-1]
+        at -= len(pos)
+    return out
+
+
 def external_argsort(key: np.ndarray, budget: Budget) -> np.ndarray:
     """argsort by distribution: parts that fit in memory, cut at sampled keys.
 

@@ -4,7 +4,7 @@ from collections import Counter
 import numpy as np
 import pytest
 
-from lantern.llm.induction import Budget, external_argsort, repeated
+from lantern.llm.induction import Budget, external_argsort, order_of, repeated
 
 
 def brute(raw, depth):
@@ -50,6 +50,36 @@ def test_external_sort_equals_sort():
     budget.close()
 
 
+def names_of(raw):
+    each = sorted(set(raw))
+    return np.array([each.index(x) for x in raw], np.int64), len(each)
+
+
+@pytest.mark.parametrize("limits", [(1 << 25, 1 << 25, 1 << 17), (64, 32, 4), (1, 1, 1), (800, 64, 16)])
+def test_order_of_names_is_the_suffix_order(limits):
+    r = random.Random(7)
+    for k in range(60):
+        n, kinds = r.choice([1, 2, 3, 10, 60, 400]), r.choice([1, 2, 3, 20, 1000])
+        raw = [r.randrange(kinds) for _ in range(n)]
+        if k % 3 == 0:
+            raw = raw * 3 + raw[: n // 2]
+        text, names = names_of(raw)
+        budget = Budget(*limits)
+        got = np.asarray(order_of(text, names, budget, len(raw))).tolist()
+        budget.close()
+        assert got == sorted(range(len(raw)), key=lambda i: raw[i:])
+
+
+def test_order_of_many_names():
+    r = np.random.default_rng(2)
+    part = r.integers(0, 5000, 30_000)
+    text = np.concatenate((part, part[:9000], r.integers(0, 5000, 20_000), part[500:9000]))
+    text = np.unique(text, return_inverse=True)[1]
+    order = order_of(text, int(text.max()) + 1, Budget(1 << 14, 1 << 14, 1 << 10), len(text))
+    raw = text.astype(">u4").tobytes()
+    assert np.array_equal(order, sorted(range(len(text)), key=lambda i: raw[4 * i :]))
+
+
 MEASURE = """
 import random, threading, time
 import numpy as np
