@@ -19,4 +19,5 @@ QUERIES = {
 ORACLES: dict[str, str] = {
     "op1_topk": topk.ORACLE,
     "op4_minhash": neardup.ORACLE,
+    "op8_suffix": repeats.ORACLE,
 }

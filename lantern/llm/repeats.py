@@ -385,3 +385,19 @@ def without_repeats(docs: DataFrame, **options) -> DataFrame:
 
 def op8_suffix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return remove_repeats(common.table(spark, sf_dir, "documents"))
+
+
+#: For small tables with unique ids: all windows of 200 bytes, as hexadecimal digits, cut from segments of 512.
+ORACLE = r"""
+with x as (select doc_id, hex(encode(coalesce(text, ''))) as h from documents
+), g as (select doc_id, s, substring(h, s * 1024 + 1, 1422) as p from (select doc_id, h, unnest(range(0, length(h) // 1024 + 1)) as s from x)
+), w as (select doc_id, s * 512 + k as i, substring(p, 2 * k + 1, 400) as v from (select doc_id, s, p, unnest(range(0, greatest(least(512, length(p) // 2 - 199), 0))) as k from g)
+), r as (select v from w group by v having count(*) > 1
+), m as (select doc_id, i, case when i - lag(i) over (partition by doc_id order by i) <= 200 then 0 else 1 end as fresh from w where v in (select v from r)
+), o as (select doc_id, run, min(i) as a, max(i) + 200 as b from (select doc_id, i, sum(fresh) over (partition by doc_id order by i) as run from m) group by all
+), k as (select doc_id, a, lag(b, 1, 0) over (partition by doc_id order by a) as z from o
+), t as (select doc_id, sum(b - a)::bigint as n_removed, count(*) as n_spans, max(b) as last from o group by doc_id
+), q as (select doc_id, string_agg(substring(h, 2 * z + 1, 2 * (a - z)), '' order by a) as q from k join x using (doc_id) group by doc_id)
+select doc_id, length(h) // 2 as n_bytes, coalesce(n_removed, 0) as n_removed, coalesce(n_spans, 0) as n_spans, sha256(unhex(coalesce(q, '') || substring(h, 2 * coalesce(last, 0) + 1))) as kept_sha256
+from x left join t using (doc_id) left join q using (doc_id)
+"""
