@@ -448,14 +448,36 @@ def stemmed_search(spark, sf_dir):
     return _out(stemmed_engine(spark, sf_dir).matches("reading OR moron* OR license"))
 
 
-@registered()
+def highlighted(rows: str, terms: list[str], size: int) -> str:
+    """CTEs up to ``snip(doc_id, snippet)`` of a query that gives doc_id and t; no term may overlap itself or another."""
+    listed, marks = ", ".join(f"'{t}'" for t in terms), "|".join(terms)
+    blank = r"[^ \n\t]*"
+    return f"""rw as (select doc_id, t, lower(t) low, length(t) n from ({rows})),
+pc as (select doc_id, term, unnest(string_split(low, term)) piece, generate_subscripts(string_split(low, term), 1) k, len(string_split(low, term)) m from rw, (select unnest([{listed}]) term) where n > 0),
+ht as (select * from (select doc_id, term, (sum(length(piece)) over (partition by doc_id, term order by k) + (k - 1) * length(term))::bigint p, k, m from pc) where k < m),
+w0 as (select doc_id, t, n, greatest(0, p - {size // 2}) a0, least(n, greatest(0, p - {size // 2}) + {size}) b0, row_number() over (partition by doc_id order by p) k from ht join rw using (doc_id)),
+wd as (select doc_id, t, n, k, length(regexp_replace(left(t, a0), '{blank}$', '')) a, case when b0 < n then least(n, b0 + length(regexp_extract(substr(t, b0), '^{blank}'))) else n end b from w0),
+gr as (select doc_id, k, b as last, true as taken from wd where k = 1
+  union all select wd.doc_id, wd.k, case when wd.a >= gr.last then wd.b else gr.last end, wd.a >= gr.last from gr join wd on wd.doc_id = gr.doc_id and wd.k = gr.k + 1),
+sc as (select wd.doc_id, wd.k, t, n, a, b, count(*) + 2 * count(distinct term) v from wd join gr on gr.doc_id = wd.doc_id and gr.k = wd.k and taken join ht on ht.doc_id = wd.doc_id and a <= p and p + length(term) <= b group by all),
+bs as (select *, row_number() over (partition by doc_id order by v desc, k) place from sc),
+sn as (select doc_id, string_agg(case when a > 0 then '...' else '' end || regexp_replace(regexp_replace(substr(t, a + 1, b - a), '({marks})', '<b>\\1</b>', 'gi'), '^\\s+|\\s+$', '', 'g') || case when b < n then '...' else '' end, ' ... ' order by a) x from bs where place <= 3 group by doc_id),
+snip as (select doc_id, coalesce(x, case when n > {size} then left(t, {size}) || '...' else coalesce(t, '') end) as snippet from rw left join sn using (doc_id))
+"""
+
+
+FOUND = DOCS + f""", pg as (select doc_id, text as t from {bm25('that')} a join {bm25('with')} b using (doc_id) join documents using (doc_id) order by a.s + b.s desc, doc_id limit 20)
+"""
+
+
+@registered(FOUND.replace("with tl", "with recursive tl", 1) + ", " + highlighted("select doc_id, t from pg", ["that", "with"], 150) + "select * from snip")
 def highlight_snippets(spark, sf_dir):
     engine = documents_engine(spark, sf_dir)
     page = engine.page("that AND with", limit=20)
     return engine.with_highlight(page, "that AND with", "text").select("doc_id", "snippet")
 
 
-@registered()
+@registered("with recursive " + highlighted("select doc_id, text as t from documents", ["license", "that"], 80) + "select * from snip")
 def highlight_all(spark, sf_dir):
     docs = table(spark, sf_dir, "documents")
     return docs.select("doc_id", Highlighter().column(F.col("text"), ["license", "that"], 80).alias("snippet"))
