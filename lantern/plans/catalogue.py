@@ -25,6 +25,8 @@ from lantern.plans.compile import Compiler
 from lantern.plans.engine import SearchEngine
 from lantern.plans.stem_sql import stemmed
 from lantern.sources.schema import KeywordField, NumericField, Schema, TextField
+from lantern.sources.store import SegmentStore
+from lantern.util import format_size_column, truncate_column
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -657,3 +659,22 @@ def facet_collector(spark, sf_dir):
     found = facets.FacetCollector.counted(facets.facet_counts(table(spark, sf_dir, "part"), ["p_brand", "p_size"]), 50)
     rows = [(field, value, n, k + 1) for field, pairs in found.get_all_facets(7).items() for k, (value, n) in enumerate(pairs)]
     return spark.createDataFrame(rows, "field string, value string, count long, place int")
+
+
+@registered("select 'a' as id, 0 as place, count(*) as n from nation union all select 'c', 1, count(*) from region union all select 'latest', 2, count(*) from region union all select 'dropped', 3, 0")
+def segments_listed(spark, sf_dir):
+    """Saved, deleted, listed and loaded segments of a store."""
+    store = SegmentStore(spark, _folder(spark))
+    for name, of in (("a", "nation"), ("b", "supplier"), ("c", "region")):
+        store.save_segment({"rows": table(spark, sf_dir, of)}, name)
+    store.delete_segment("b")
+    rows = [(x["id"], k, store.load_segment(x["id"])["rows"].count()) for k, x in enumerate(store.list_segments())]
+    rows += [("latest", len(rows), store.load_latest()[0]["rows"].count()), ("dropped", len(rows) + 1, int(store.load_segment("b") is not None))]
+    return spark.createDataFrame(rows, "id string, place int, n long")
+
+
+@registered("""select doc_id, case when b < 1024 then printf('%.1f B', b::double) when b < 1048576 then printf('%.1f KB', b / 1024.0::double) else printf('%.1f MB', b / 1048576.0::double) end as size,
+case when length(text) > 40 then left(text, 37) || '...' else text end as short from (select doc_id, text, 300 * strlen(text) as b from documents)""")
+def sizes_and_truncation(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents")
+    return docs.select("doc_id", format_size_column(F.octet_length("text") * 300).alias("size"), truncate_column(F.col("text"), 40).alias("short"))

@@ -19,6 +19,16 @@ def format_size(n: float) -> str:
     return f"{n:.1f} {units[power]}"
 
 
+def format_size_column(c: Column) -> Column:
+    """The same of a column of whole bytes."""
+    units, out = ("B", "KB", "MB", "GB", "TB"), None
+    for power in reversed(range(len(units))):
+        # Ties go to the even digit, as in Python; quotients by powers of two are exact.
+        text = F.concat(F.format_string("%.1f", F.bround(c / float(1 << 10 * power), 1)), F.lit(f" {units[power]}"))
+        out = F.when(c >= (1 << 10 * power if power else -1), text) if out is None else out.when(c >= (1 << 10 * power if power else -1), text)
+    return out
+
+
 def deep_size(value, seen: set[int] | None = None) -> int:
     """Bytes of a Python object and all it holds, each counted once."""
     seen = set() if seen is None else seen

@@ -94,6 +94,8 @@ def test_highlight_column(spark):
 
 def test_helpers(spark, capsys):
     assert [util.format_size(n) for n in (0, 1023, 1024, 1536 * 1024)] == ["0.0 B", "1023.0 B", "1.0 KB", "1.5 MB"]
+    sizes = [0, 1, 1023, 1024, 1280, 1792, 1536 * 1024, 5 << 30, 7 << 41, 3 << 52]
+    assert [r[0] for r in spark.createDataFrame([(n,) for n in sizes], "n long").select(util.format_size_column(F.col("n"))).collect()] == [util.format_size(n) for n in sizes]
     assert util.truncate("a" * 10, 8) == "aaaaa..." and util.truncate("abc", 8) == "abc"
     df = spark.createDataFrame([("a" * 10,), ("abc",)], "s string")
     assert [r[0] for r in df.select(util.truncate_column(F.col("s"), 8)).collect()] == ["aaaaa...", "abc"]
