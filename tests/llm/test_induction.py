@@ -91,7 +91,7 @@ def held():
 r = random.Random(5)
 words = ["".join(r.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(r.randint(2, 9))) for _ in range(5000)]
 part = " ".join(r.choice(words) for _ in range(400_000)).encode()
-text = np.frombuffer((part + part[: len(part) // 3] + " ".join(r.choice(words) for _ in range(2_300_000)).encode())[: 16 << 20], np.uint8)
+text = np.frombuffer((part + part[: len(part) // 3] + " ".join(r.choice(words) for _ in range(1_000_000)).encode())[: 8 << 20], np.uint8)
 del part
 base, most, on = held(), 0, True
 
@@ -115,5 +115,5 @@ def test_memory_follows_the_budget_and_not_the_string():
     import sys
 
     n, found, grown = subprocess.run([sys.executable, "-c", MEASURE], capture_output=True, text=True, check=True, cwd=__file__.rsplit("/tests/", 1)[0]).stdout.split()
-    # 15 bytes for each of the string's would be 240 MB.
-    assert int(n) == 16 << 20 and int(found) > 800_000 and float(grown) < 90
+    # 15 bytes for each of the string's would be 120 MB.
+    assert int(n) == 8 << 20 and int(found) > 800_000 and float(grown) < 90
