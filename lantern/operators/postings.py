@@ -102,6 +102,17 @@ def _union(parts: list[DataFrame], spark: SparkSession, shape: str) -> DataFrame
     return out
 
 
+def spread(docs: DataFrame) -> DataFrame:
+    """``docs`` over all cores, where a scan of few or badly split files gives fewer parts than these.
+
+    A table of more files than cores, and a plan that shuffles anyway, stay as they are.
+    """
+    plan, cores = docs._jdf.queryExecution().executedPlan(), docs.sparkSession.sparkContext.defaultParallelism
+    if plan.getClass().getSimpleName() == "AdaptiveSparkPlanExec" or docs.rdd.getNumPartitions() >= cores:
+        return docs
+    return docs.repartition(cores)
+
+
 def indexed_fields(docs: DataFrame, schema: Schema) -> tuple[list[str], list[str]]:
     there = set(docs.columns)
     return [n for n in schema.get_text_fields() if n in there], [n for n in schema.get_keyword_fields() if n in there]

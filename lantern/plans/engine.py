@@ -251,7 +251,7 @@ class SearchEngine:
             docs = self.documents
             fresh = docs if self._base is None else self._fresh
             if fresh is not None:  # an append analyses what is new
-                rows = index_ops.analysed(fresh, self.schema).persist(StorageLevel.MEMORY_AND_DISK)
+                rows = index_ops.analysed(index_ops.spread(fresh), self.schema).persist(StorageLevel.MEMORY_AND_DISK)
                 self._pending.append((fresh, rows))
                 new = index_ops.postings_of(rows), index_ops.lengths_of(rows)
                 self._base = new if self._base is None else tuple(a.unionByName(b) for a, b in zip(self._base, new))

@@ -77,6 +77,12 @@ def test_analysis_runs_once_and_shuffles_nothing(spark):
     assert sorted((r.doc_id, r.dl) for r in postings.lengths_of(rows).collect()) == [(1, 4), (2, 0), (4, 1)]
 
 
+def test_few_parts_are_spread_and_many_are_not(spark):
+    few, many = spark.range(100).coalesce(1), spark.range(100).repartition(9)
+    assert postings.spread(few).rdd.getNumPartitions() == spark.sparkContext.defaultParallelism
+    assert postings.spread(many) is many and postings.spread(spark.range(100)).rdd.getNumPartitions() == spark.sparkContext.defaultParallelism
+
+
 class CountingStemmer(PorterStemmer):
     def stem_all(self, words):
         if len(words) != len(set(words)):
