@@ -12,18 +12,26 @@ from __future__ import annotations
 
 import re
 import unicodedata
+from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import islice
 
 import pandas as pd
-from pyspark.sql import Column
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
+
+from lantern.util import small_batches
 
 SPACE = r"[\s\x1c-\x1f\x85\p{Z}]"
 NO_SPACE = r"[^\s\x1c-\x1f\x85\p{Z}]+"
 WORD = r"[\p{L}\p{N}_]+(?:[-'][\p{L}\p{N}_]+)*"
 PYTHON_WORD = r"\w+(?:[-']\w+)*"
 TOKENS = T.ArrayType(T.StructType([T.StructField("text", T.StringType()), T.StructField("position", T.IntegerType()), T.StructField("start_char", T.IntegerType()), T.StructField("end_char", T.IntegerType())]))
+#: Tokens that :meth:`Tokenizer.offsets_table` makes at once.
+SENT_TOKENS = 1 << 15
 
 
 @dataclass(frozen=True)
@@ -46,6 +54,14 @@ class Tokenizer:
     def tokenize(self, text: str) -> list[Token]:
         raise NotImplementedError
 
+    def each(self, text: str) -> Iterator[tuple[str, int, int, int]]:
+        """The tokens' values one by one, where a tokenizer can give them so."""
+        return ((t.text, t.position, t.start_char, t.end_char) for t in self.tokenize(text))
+
+    def words(self, text: str) -> list[str]:
+        """The tokens' texts."""
+        return [t.text for t in self.tokenize(text)]
+
     def column(self, c: Column) -> Column:
         raise NotImplementedError
 
@@ -58,6 +74,22 @@ class Tokenizer:
 
         return run(c)
 
+    def offsets_table(self, df: DataFrame, key: str, text: str) -> DataFrame:
+        """(key, text, position, start_char, end_char), a row for each token; Python holds ``SENT_TOKENS`` of them at once, however long a text is."""
+        kind = df.schema[key].dataType
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            shape = to_arrow_schema(T.StructType([T.StructField(key, kind), *TOKENS.elementType.fields]))
+            for batch in batches:
+                tokens = ((row, *x) for row, value in enumerate(batch[1]) for x in self.each(value.as_py() or ""))
+                while part := list(islice(tokens, SENT_TOKENS)):
+                    rows, *columns = zip(*part)
+                    own = batch[0].take(pa.array(rows, pa.int64()))
+                    yield pa.RecordBatch.from_arrays([own, *(pa.array(c, f.type) for c, f in zip(columns, list(shape)[1:]))], schema=shape)
+
+        small_batches(df.sparkSession)
+        return df.select(key, text).mapInArrow(run, T.StructType([T.StructField(key, kind), *TOKENS.elementType.fields]))
+
 
 class RegexTokenizer(Tokenizer):
     """Matches of a pattern; ``java`` is its form for the JVM, if another."""
@@ -66,8 +98,15 @@ class RegexTokenizer(Tokenizer):
         self.pattern = pattern or PYTHON_WORD
         self.java = java or (pattern if pattern else WORD)
 
+    def each(self, text: str) -> Iterator[tuple[str, int, int, int]]:
+        return ((m.group(), k, *m.span()) for k, m in enumerate(re.finditer(self.pattern, text)))
+
     def tokenize(self, text: str) -> list[Token]:
-        return [Token(m.group(), k, m.start(), m.end()) for k, m in enumerate(re.finditer(self.pattern, text))]
+        return [Token(*t) for t in self.each(text)]
+
+    def words(self, text: str) -> list[str]:
+        found = re.compile(self.pattern)
+        return [m.group() for m in found.finditer(text)] if found.groups else found.findall(text)
 
     def column(self, c: Column) -> Column:
         return numbered(F.regexp_extract_all(c, F.lit(self.java), F.lit(0)))

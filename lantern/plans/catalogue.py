@@ -143,8 +143,7 @@ u as (select doc_id, unnest(l) tok, unnest(g[1:len(l)]) gap, generate_subscripts
 s as (select doc_id, tok, k, sum(length(gap)) over w + coalesce(sum(length(tok)) over (partition by doc_id order by k rows between unbounded preceding and 1 preceding), 0) a from u window w as (partition by doc_id order by k))
 select doc_id, tok as text, (k - 1)::int as position, a::int as start_char, (a + length(tok))::int as end_char from s""")
 def token_offsets(spark, sf_dir):
-    docs = table(spark, sf_dir, "documents")
-    return docs.select("doc_id", F.inline(RegexTokenizer().with_offsets(F.col("text"))))
+    return RegexTokenizer().offsets_table(table(spark, sf_dir, "documents"), "doc_id", "text")
 
 
 @registered(DOCS + "select doc_id, pos::int as position, term from tk where term not in ('the', 'and', 'of', 'der', 'la')")

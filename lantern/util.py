@@ -6,9 +6,17 @@ import functools
 import sys
 import time
 
-from pyspark.sql import Column
+from pyspark.sql import Column, SparkSession
 from pyspark.sql import functions as F
 
+BATCH_ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch"
+
+
+def small_batches(spark: SparkSession | None) -> None:
+    """Sends rows that may hold long texts to Python by 1,000, where the session has Spark's default of 10,000."""
+    if spark is not None and spark.conf.get(BATCH_ROWS) == "10000":
+        spark.conf.set(BATCH_ROWS, "1000")
+
 
 def format_size(n: float) -> str:
     """Bytes with one decimal in B, KB, MB, GB or TB (base 1024)."""

@@ -104,3 +104,13 @@ def test_helpers(spark, capsys):
     with util.Timer() as t:
         pass
     assert t.elapsed_ms >= 0 and util.timed(lambda: 3)() == 3 and "ms" in capsys.readouterr().out
+
+
+def test_offsets_of_long_texts_come_in_parts(spark, monkeypatch):
+    texts = [(1, "ab cd-e " * 50), (2, None), (3, ""), (4, "é x")]
+    df = spark.createDataFrame(texts, "id long, s string").coalesce(1)
+    monkeypatch.setattr("lantern.functions.text.SENT_TOKENS", 7)
+    tokenizer = text.RegexTokenizer()
+    got = {tuple(r) for r in tokenizer.offsets_table(df, "id", "s").collect()}
+    assert got == {(k, x.text, x.position, x.start_char, x.end_char) for k, t in texts for x in tokenizer.tokenize(t or "")}
+    assert len(got) == 102 and not isinstance(tokenizer.each("a b"), list)
