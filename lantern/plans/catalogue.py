@@ -475,13 +475,13 @@ FOUND = DOCS + f""", pg as (select doc_id, text as t from {bm25('that')} a join
 def highlight_snippets(spark, sf_dir):
     engine = documents_engine(spark, sf_dir)
     page = engine.page("that AND with", limit=20)
-    return engine.with_highlight(page, "that AND with", "text").select("doc_id", "snippet")
+    return engine.with_highlight(page, "that AND with", "text", highlighter=Highlighter(overlapping=False)).select("doc_id", "snippet")
 
 
 @registered("with recursive " + highlighted("select doc_id, text as t from documents", ["license", "that"], 80) + "select * from snip")
 def highlight_all(spark, sf_dir):
     docs = table(spark, sf_dir, "documents")
-    return docs.select("doc_id", Highlighter().column(F.col("text"), ["license", "that"], 80).alias("snippet"))
+    return docs.select("doc_id", Highlighter(overlapping=False).column(F.col("text"), ["license", "that"], 80).alias("snippet"))
 
 
 @registered("select turn as n, count(*) as count from conversations group by turn")

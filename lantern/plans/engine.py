@@ -294,8 +294,8 @@ class SearchEngine:
     def _ranked(matched: DataFrame, limit: int, offset: int) -> DataFrame:
         return matched.orderBy(F.desc("score"), F.asc("doc_id")).offset(offset).limit(limit)
 
-    def with_highlight(self, page: DataFrame, query: str | Query, field: str, name: str = "snippet", fragment_size: int | None = None) -> DataFrame:
-        return page.withColumn(name, self.highlighter.column(F.col(f"`{field}`"), raw_terms(self.parse(query)), fragment_size))
+    def with_highlight(self, page: DataFrame, query: str | Query, field: str, name: str = "snippet", fragment_size: int | None = None, highlighter: Highlighter | None = None) -> DataFrame:
+        return page.withColumn(name, (highlighter or self.highlighter).column(F.col(f"`{field}`"), raw_terms(self.parse(query)), fragment_size))
 
     def search(self, query: str | Query, limit: int = 10, offset: int = 0, facets: list[str] | None = None, filters: dict[str, list[str]] | None = None, facet_limit: int = FACET_LIMIT) -> SearchResults:
         """A page of hits with the number of all matches.

@@ -114,3 +114,12 @@ def test_offsets_of_long_texts_come_in_parts(spark, monkeypatch):
     got = {tuple(r) for r in tokenizer.offsets_table(df, "id", "s").collect()}
     assert got == {(k, x.text, x.position, x.start_char, x.end_char) for k, t in texts for x in tokenizer.tokenize(t or "")}
     assert len(got) == 102 and not isinstance(tokenizer.each("a b"), list)
+
+
+def test_overlapping_occurrences_count_only_if_asked(spark):
+    # "thathat" holds "that" at 0 and at 3; counted twice, its fragment beats the first one.
+    told = "that " + "x " * 60 + "thathat"
+    assert Highlighter(max_fragments=1, fragment_size=20).highlight(told, ["that"]).endswith("<b>that</b>hat")
+    once = Highlighter(max_fragments=1, fragment_size=20, overlapping=False)
+    assert once.highlight(told, ["that"]).startswith("<b>that</b> x")
+    assert spark.createDataFrame([(told,)], "s string").select(once.column(F.col("s"), ["that"])).first()[0] == once.highlight(told, ["that"])
