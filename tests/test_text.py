@@ -123,3 +123,17 @@ def test_overlapping_occurrences_count_only_if_asked(spark):
     once = Highlighter(max_fragments=1, fragment_size=20, overlapping=False)
     assert once.highlight(told, ["that"]).startswith("<b>that</b> x")
     assert spark.createDataFrame([(told,)], "s string").select(once.column(F.col("s"), ["that"])).first()[0] == once.highlight(told, ["that"])
+
+
+def test_highlighting_takes_small_batches(spark):
+    key, df = util.BATCH_ROWS, spark.range(2500).select(F.lit("some text").alias("s")).coalesce(1)
+    before = spark.conf.get(key)
+    try:
+        spark.conf.set(key, "10000")
+        assert df.select(Highlighter().column(F.col("s"), ["text"])).distinct().count() == 1
+        assert spark.conf.get(key) == "1000"
+        spark.conf.set(key, "77")
+        util.small_batches(spark)
+        assert spark.conf.get(key) == "77"
+    finally:
+        spark.conf.set(key, before)
