@@ -43,6 +43,21 @@ class Analyzer:
     def first(self, text: str) -> str | None:
         return next(iter(self.analyze_to_terms(text)), None)
 
+    def terms_of(self, words: list[str]) -> list[str | None]:
+        """What distinct tokens of the tokenizer become; None where one is dropped."""
+        told: list[str | None] = list(words)
+        for n in self.normalizers:
+            told = [None if t is None else n.text(t) for t in told]
+            if n.drops:
+                told = [t or None for t in told]
+        if self.stop_filter:
+            told = [None if t in self.stop_filter.words else t for t in told]
+        if self.stemmer:
+            distinct = list(dict.fromkeys(t for t in told if t is not None))
+            stems = dict(zip(distinct, self.stemmer.stem_all(distinct)))
+            told = [None if t is None else stems[t] for t in told]
+        return told
+
     def words_column(self, c: Column) -> Column:
         """Tokens before stemming."""
         tokens = self.tokenizer.column(F.coalesce(c, F.lit("")))

@@ -121,6 +121,8 @@ class SearchEngine:
         # Postings and lengths of the documents indexed so far, and the documents that are not yet in them.
         self._base: tuple[DataFrame, DataFrame] | None = None
         self._fresh: DataFrame | None = None
+        # The blocks of all postings, while no removed or stored ones are among these.
+        self._whole: DataFrame | None = None
         # What was analysed since the last commit, as (documents, rows); and whether what was stored changed as well.
         self._pending: list[tuple[DataFrame, DataFrame]] = []
         self._rewritten = False
@@ -167,6 +169,7 @@ class SearchEngine:
     def _without(self, gone: DataFrame) -> None:
         self._docs, self._fresh = (d and d.join(gone, "doc_id", "left_anti") for d in (self._docs, self._fresh))
         self._base = self._base and tuple(d.join(gone, "doc_id", "left_anti") for d in self._base)
+        self._whole = None
         self._phantom, self._rewritten = set(), True
         self._touched()
 
@@ -246,6 +249,9 @@ class SearchEngine:
 
     @property
     def index(self) -> Index:
+        for _, rows in self._pending:
+            if not (rows.storageLevel.useMemory or rows.storageLevel.useDisk):  # another cleared the session's cache
+                rows.persist(StorageLevel.MEMORY_AND_DISK)
         if self._index is None:
             # Documents are read where they lie; only what was computed from them is kept.
             docs = self.documents
@@ -254,12 +260,15 @@ class SearchEngine:
                 rows = index_ops.analysed(index_ops.spread(fresh), self.schema).persist(StorageLevel.MEMORY_AND_DISK)
                 self._pending.append((fresh, rows))
                 new = index_ops.postings_of(rows), index_ops.lengths_of(rows)
+                self._whole = rows if self._base is None else self._whole and self._whole.unionByName(rows)
                 self._base = new if self._base is None else tuple(a.unionByName(b) for a, b in zip(self._base, new))
             self._fresh = None
             self._index = self._facts(docs, *self._base)
         return self._index
 
     def _facts(self, docs: DataFrame, postings: DataFrame, lengths: DataFrame) -> Index:
+        if self._whole is not None:  # nothing but these blocks: a lookup of a term's df reads the blocks that can hold it
+            return Index(self.spark, self.schema, docs, postings, index_ops.dictionary_of(self._whole), docs.count(), index_ops.totals_of(self._whole))
         terms = index_ops.dictionary(postings).persist(StorageLevel.MEMORY_AND_DISK)
         totals = {r.field: int(r.n) for r in lengths.groupBy("field").agg(F.sum("dl").alias("n")).collect()}
         return Index(self.spark, self.schema, docs, postings, terms, docs.count(), totals)
@@ -348,7 +357,7 @@ class SearchEngine:
         if facts["schema"] != self.schema.to_json():
             raise ValueError("the index has another schema")
         self._docs, self._fresh, self._buffer, self._next = tables["docs"], None, [], facts["next_doc_id"]
-        self._pending, self._rewritten = [], True
+        self._pending, self._rewritten, self._whole = [], True, None
         self._phantom, self.streams = set(facts["phantom"]), dict(facts.get("streams", {}))
         shapes = {"postings": index_ops.POSTINGS, "terms": index_ops.TERMS, "lengths": index_ops.LENGTHS}
         shaped = {t: tables[t].select(*self.spark.createDataFrame([], shape).columns) if facts["doc_count"] else self.spark.createDataFrame([], shape) for t, shape in shapes.items()}
@@ -383,11 +392,11 @@ class SearchEngine:
         if self._rewritten or not 0 < before < MOST_SEGMENTS:
             self._store.compact(tables, facts=facts, layout=layout)
         else:
-            docs, rows = self._pending[0] if self._pending else (tables["docs"].limit(0), self.spark.createDataFrame([], index_ops.POSTINGS))
+            docs, rows = self._pending[0] if self._pending else (tables["docs"].limit(0), self.spark.createDataFrame([], index_ops.BLOCKS))
             for more, of_more in self._pending[1:]:
                 docs, rows = together(docs, more), rows.unionByName(of_more)
             postings = index_ops.postings_of(rows)
-            new = {"docs": docs, "postings": postings, "terms": index_ops.dictionary(postings), "lengths": index_ops.lengths_of(rows)}
+            new = {"docs": docs, "postings": postings, "terms": index_ops.dictionary_of(rows), "lengths": index_ops.lengths_of(rows)}
             self._store.save_segment(new, facts=facts, layout=layout)
         for _, rows in self._pending:
             rows.unpersist()

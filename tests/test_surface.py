@@ -178,3 +178,31 @@ def test_facets_of_a_search_are_bounded(spark):
     e.add_many([{"content": "word", "tag": [f"t{j}" for j in range(k + 1)]} for k in range(5)])
     assert e.search("word", facets=["tag"], facet_limit=2).facets == {"tag": {"t0": 5, "t1": 4}}
     assert len(e.search("word", facets=["tag"]).facets["tag"]) == 5
+
+
+def test_blocks_end_at_their_size_and_keep_all_postings(spark, monkeypatch):
+    rows = [(k, " ".join(["same", f"w{k % 3}", "Same"] * (k % 4)) if k % 5 else None, f"K{k % 2}") for k in range(40)]
+    docs = spark.createDataFrame(rows, "doc_id long, body string, tag string").coalesce(1)
+    schema = Schema(body=TextField(analyzer=Analyzer()), tag=KeywordField())
+    whole = {(r.field, r.term, r.doc_id): (r.tf, r.positions, r.dl) for r in postings.build_postings(docs, schema).collect()}
+    for name, size in (("BLOCK_TOKENS", 10), ("BLOCK_DOCS", 3), ("SENT_ROWS", 2)):
+        monkeypatch.setattr(postings, name, size)
+    blocks = postings.analysed(docs, schema)
+    got = {(r.field, r.term, r.doc_id): (r.tf, r.positions, r.dl) for r in postings.postings_of(blocks).collect()}
+    wanted = {("tag", f"k{k % 2}", k): (1, [0], 1) for k in range(40)}
+    for k, body, _ in rows:
+        words = (body or "").lower().split()
+        wanted |= {("body", w, k): (words.count(w), [i for i, x in enumerate(words) if x == w], len(words)) for w in words}
+    assert got == whole == wanted and blocks.where("term = 'same'").count() > 5
+    assert {tuple(r) for r in postings.dictionary_of(blocks).collect()} == {tuple(r) for r in postings.dictionary(postings.postings_of(blocks)).collect()}
+    assert postings.totals_of(blocks) == {"tag": 40, "body": sum(3 * (k % 4) for k in range(40) if k % 5)}
+
+
+def test_a_terms_df_comes_from_its_blocks(spark):
+    e = SearchEngine(schema=Schema(body=TextField()), spark=spark)
+    e.add_many([{"body": "alpha beta"}, {"body": "alpha"}])
+    assert ids(e, "alpha") == [0, 1]
+    plan = e.index.terms.where("term = 'alpha'")._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.index("Aggregate") < plan.index("Filter") < plan.index("InMemoryRelation") and "doc_ids" not in plan[: plan.index("InMemoryRelation")]
+    spark.catalog.clearCache()
+    assert ids(e, "beta") == [0] and e._pending[0][1].storageLevel.useMemory
